@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.llm import packing, tokens
+from noteflow.llm import neighbours, packing, tokens
 
-MODULES = [tokens, packing]
+MODULES = [tokens, packing, neighbours]
 
 
 def queries() -> dict:

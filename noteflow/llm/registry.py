@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.llm import neighbours, packing, tokens
+from noteflow.llm import neighbours, packing, residue, tokens
 
-MODULES = [tokens, packing, neighbours]
+MODULES = [tokens, packing, neighbours, residue]
 
 
 def queries() -> dict:

@@ -83,7 +83,7 @@ _SCRIPT_THING = r"supported browser|browser (?:too old|not supported)|java\s?scr
 _SCRIPT_ASK = (
     r"\b(?:enable|activate|allow|permit|turn (?:it )?on|switch(?:ed)? (?:on|off)|need|requires?|must|have to|disabled|blocked|"
     r"off|support|supported|detected|without|unblock|deactivated|aktivier\w*|einschalten|zulassen|erlauben|benötig\w*|deaktiviert|"
-    r"activ\w+|autoris\w+|désactiv\w+|nécessite|habilit\w+|permit\w*|desactiv\w+|requiere|necesita|déblo\w+|bloqu\w+)\b|启用|开启|打开|允许|需要|禁用|关闭"
+    r"activ\w+|autoris\w+|désactiv\w+|nécessite|habilit\w+|permit\w*|desactiv\w+|requiere|necesita|déblo\w+|bloqu\w+)\b|启用|开启|打开|允许|需要|禁用|关闭|sans (?:java)?scripts?\b|ne peut (?:pas )?s.afficher"
 )
 _THING, _ASK = regex.compile(_SCRIPT_THING, regex.I), regex.compile(_SCRIPT_ASK, regex.I)
 
@@ -164,7 +164,7 @@ def _is_filler(segment: str, words: list[str]) -> bool:
         if latin >= 0.6 * len(words) and sum(w in _LATIN for w in words) >= 2:
             return True
         kinds = len({w for w in words if not w.isdigit()})
-        if len(words) >= 4 and kinds <= max(1, len(words) // 4):  # the same word again and again
+        if len(words) >= 4 and kinds <= max(1, len(words) // 3):  # the same word again and again
             return True
     return False
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.llm import neighbours, packing, residue, tokens
+from noteflow.llm import neighbours, packing, pairs, residue, tokens
 
-MODULES = [tokens, packing, neighbours, residue]
+MODULES = [tokens, packing, neighbours, residue, pairs]
 
 
 def queries() -> dict:

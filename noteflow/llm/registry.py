@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.llm import neighbours, packing, pairs, residue, tokens
+from noteflow.llm import names, neighbours, packing, pairs, residue, tokens
 
-MODULES = [tokens, packing, neighbours, residue, pairs]
+MODULES = [tokens, packing, neighbours, residue, pairs, names]
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.llm import names, neighbours, packing, pairs, residue, tokens
+from noteflow.llm import names, neighbours, packing, pairs, residue, splitting, tokens
 
-MODULES = [tokens, packing, neighbours, residue, pairs, names]
+MODULES = [tokens, packing, neighbours, residue, pairs, names, splitting]
 
 
 def queries() -> dict:

@@ -77,7 +77,7 @@ _FIELD_SIGN = regex.compile(r"[{}<\[\]【［$%@«‹]|&lt;|__|TODO|FIXME|TBD|XX/
 _ANGLE = regex.compile(r"<([a-z]+(?:_[a-z]+)*)>")
 _TAG = regex.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]{0,200})?/?>|<!DOCTYPE[^<>]{0,100}>", regex.I)
 _WORD = regex.compile(r"[\p{Han}]|[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*")
-_SPLIT = regex.compile(r"[\r\n  \u0085]+|(?<=[.!?…]['\"”»)]?)\s+|(?<=[。！？])")
+_SPLIT = regex.compile(r"[\r\n\u2028\u2029\u0085]+|(?<=[.!?…]['\"”»)]?)\s+|(?<=[。！？])")
 
 _SCRIPT_THING = r"supported browser|browser (?:too old|not supported)|java\s?script|\bjs\b|\bscripts?\b|\bscripting\b|active content|\bskripte?\b|aktive inhalte|\bcontenu actif\b|contenido activo|脚本|活动内容"
 _SCRIPT_ASK = (

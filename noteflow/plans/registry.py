@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import references
+from noteflow.operators import notes, references
 
-MODULES = [references]
+MODULES = [references, notes]
 
 
 def queries() -> dict:

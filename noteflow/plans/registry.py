@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import notes, references
+from noteflow.operators import graph, notes, references
 
-MODULES = [references, notes]
+MODULES = [references, notes, graph]
 
 
 def queries() -> dict:

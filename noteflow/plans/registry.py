@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import graph, notes, references
+from noteflow.operators import evaluation, graph, incremental, lexical, notes, references, vectors
 
-MODULES = [references, notes, graph]
+MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental]
 
 
 def queries() -> dict:

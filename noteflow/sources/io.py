@@ -28,7 +28,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-@F.pandas_udf("string")
 def _docx_text(content: pd.Series) -> pd.Series:
     def text(data):
         if data is None:
@@ -45,7 +44,7 @@ def _docx_text(content: pd.Series) -> pd.Series:
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """path, text: the paragraphs of each .docx file, one per line; null for a file that is none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", True).load(path)
-    return files.select("path", _docx_text("content").alias("text"))
+    return files.select("path", F.pandas_udf(_docx_text, T.StringType())("content").alias("text"))
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """Problem 1: cutting oversized texts at natural boundaries, with an overlap between consecutive pieces.
 
 The least number of pieces sets equal-length targets for the cuts. Each cut snaps to the strongest boundary near its
-target that keeps the piece within the limit and the rest within its pieces; if some cut finds none, a piece is added
-and the targets are placed anew. Where the text itself has no boundary within reach, the cut is made at the limit.
+target that keeps the piece within the limit and the rest within its pieces; if some cut finds none, or only a weaker
+one than stands near its target, pieces are added and the targets are placed anew. Where the text itself has no boundary
+within reach, the cut is made at the limit.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from noteflow.functions.runtime import spread, table
 from noteflow.operators.references import latest
 
 LIMIT, OVERLAP = 512, 50
-#: Pieces that are added at most before cuts without a boundary are accepted.
-EXTRA_PIECES = 3
+#: By how much the number of pieces grows from one attempt to the next, at least one piece, and how often.
+GROWTH, ATTEMPTS = 0.02, 8
 
 #: Boundaries by strength; a cut is made behind the match.
 _BOUNDARIES = [
@@ -29,6 +30,7 @@ _BOUNDARIES = [
     (3, regex.compile(r"\r?\n|[\u2028\u0085]")),  # line
     (2, regex.compile(r"[;:,]\s+|[，；：、]|\s[–—-]\s")),  # clause
     (1, regex.compile(r"\s+|\p{P}+")),  # word
+    (0, regex.compile(r"\s|\p{P}")),  # within a run of spaces or marks
 ]
 
 
@@ -47,29 +49,30 @@ def boundaries(text: str) -> tuple[list[int], dict[int, int]]:
     return sorted(strength), strength
 
 
-def _place(length: int, n: int, limit: int, overlap: int, at: list[int], strength: dict[int, int], force: bool) -> list[Piece] | None:
-    """n pieces, or None if a cut finds no boundary (with `force` such a cut is made at its target)."""
+def _place(length: int, n: int, limit: int, overlap: int, at: list[int], strength: dict[int, int], force: bool) -> tuple[list[Piece], int] | None:
+    """n pieces and how many cuts are weaker than a boundary near their target, or None if a cut finds no boundary (with
+    `force` such a cut is made at the limit and takes further pieces)."""
     step = limit - overlap
-    pieces, start = [], 0
+    pieces, start, weak = [], 0, 0
     total = n
     while True:
         left = total - len(pieces)
         if length - start <= limit and (left <= 1 or force):
-            return [*pieces, Piece(start, length, "end")]
+            return [*pieces, Piece(start, length, "end")], weak
         if left <= 1:
             if not force:
                 return None
             total += 1
             left = 2
         target = start + overlap + (length - start - overlap) / left
-        low = max(start + overlap + 1, length - (left - 1) * step - overlap)
+        low = max(start + overlap + 1, 0 if force else length - (left - 1) * step - overlap)
         high = min(start + limit, length - 1)
-        if force:
-            low = start + overlap + 1
         reach = at[bisect_left(at, low) : bisect_right(at, high)]
         if reach:
             near = [b for b in reach if abs(b - target) <= limit / 5] or reach
             end = max(near, key=lambda b: (strength[b] - 4 * abs(b - target) / limit, b))
+            around = at[bisect_left(at, target - limit / 5) : bisect_right(at, target + limit / 5)]
+            weak += strength[end] < max((strength[b] for b in around), default=0)
             pieces.append(Piece(start, end, "boundary"))
         elif force:
             end = start + limit
@@ -89,10 +92,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Pi
         return [Piece(0, length, "end")]
     at, strength = boundaries(text)
     least = -(-(length - overlap) // (limit - overlap))
-    for n in range(least, least + EXTRA_PIECES + 1):
-        if pieces := _place(length, n, limit, overlap, at, strength, force=False):
-            return pieces
-    return _place(length, least, limit, overlap, at, strength, force=True)
+    best = None
+    n = least
+    for _ in range(ATTEMPTS):
+        placed = _place(length, n, limit, overlap, at, strength, force=False)
+        if placed and (best is None or placed[1] < best[1]):
+            best = placed
+        if best and not best[1]:
+            break
+        n += max(1, int(least * GROWTH))
+    return (best or _place(length, least, limit, overlap, at, strength, force=True))[0]
 
 
 def has_solid_run(text: str, limit: int = LIMIT) -> bool:

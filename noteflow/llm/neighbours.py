@@ -25,6 +25,8 @@ K = 10
 GRAPH_K, REVERSE_K = 16, 16
 TREES, LEAF, FIT_ROWS = 3, 300, 20_000
 ROUNDS, SETTLED = 6, 0.002
+#: A search starts from at most ENTRIES vertices (a sample) and keeps BEAM candidates per query.
+ENTRIES, BEAM, STEPS = 2000, 24, 12
 
 
 def usable(embedding: str, dimension: int = DIMENSION) -> Column:
@@ -297,11 +299,90 @@ def nearest(
     )
 
 
+def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, dimension: int = DIMENSION, beam: int = BEAM) -> DataFrame:
+    """q, vid, sim: up to `beam` vertices near each query, by greedy search: from the best of a sample of entries, the
+    best candidates not yet looked at give their neighbours (in both directions) until none of the best is new.
+
+    points: staged vid, vec; graph: v, w; queries: staged q, vec, each q once. The sample is bounded, whatever the size of the
+    graph; each step joins the few candidates of each query with the edges and vectors of just these.
+    """
+    edges = graph.select("v", "w").union(graph.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct()
+    # a hub's reverse edges are cut to the graph's degree by hash: the search has other ways to it
+    pick = Window.partitionBy("v").orderBy(F.xxhash64("v", "w"))
+    edges = stage(edges.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= 3 * GRAPH_K).drop("n"), "search-edges")
+    start = [(r[0], bytes(r[1])) for r in points.orderBy(F.xxhash64("vid")).limit(ENTRIES).select("vid", "vec").collect()]
+    if not start:
+        return points.select(F.col("vid").alias("q"), "vid", F.lit(0.0).alias("sim")).limit(0)
+    ids = np.array([i for i, _ in start])
+    shared = points.sparkSession.sparkContext.broadcast((ids, _matrix(pa.chunked_array([pa.array([v for _, v in start], pa.binary())]), dimension)))
+
+    def enter(batches):
+        names, x = shared.value
+        for b in batches:
+            if b.num_rows:
+                sims = _matrix(b.column("vec"), dimension) @ x.T
+                n = min(beam, len(names))
+                best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                row = np.repeat(np.arange(len(sims)), n)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("q").take(pa.array(row)), pa.array(names[best.ravel()]), pa.array(sims[row, best.ravel()])], ["q", "vid", "sim"]
+                )
+
+    def compare(asked: pa.Table, near: pa.Table) -> pa.Table:
+        if not near.num_rows or not asked.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "vid": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        sims = _matrix(near.column("vec"), dimension) @ _matrix(asked.column("vec"), dimension)[0]
+        return pa.table({"q": near.column("nq"), "vid": near.column("vid"), "sim": pa.array(sims)})
+
+    best = stage(queries.mapInArrow(enter, "q bigint, vid bigint, sim double").withColumn("looked", F.lit(False)), "beam")
+    seen = best.select("q", "vid")
+    n = 2 * parallelism(points.sparkSession)
+    for _ in range(STEPS):
+        ahead = best.where(~F.col("looked")).select("q", F.col("vid").alias("v"))
+        new = ahead.join(edges, "v").select("q", F.col("w").alias("vid")).distinct().join(seen, ["q", "vid"], "left_anti")
+        near = stage(new.join(points.select("vid", "vec"), "vid").select(F.col("q").alias("nq"), "vid", "vec"), "candidates")
+        if near.isEmpty():
+            break
+        scored = queries.repartition(n, "q").groupBy("q").cogroup(near.repartition(n, "nq").groupBy("nq")).applyInArrow(compare, "q bigint, vid bigint, sim double")
+        seen = stage(seen.unionByName(near.select(F.col("nq").alias("q"), "vid")), "seen")
+        w = Window.partitionBy("q").orderBy(F.desc("sim"), "vid")
+        both = best.withColumn("looked", F.lit(True)).unionByName(scored.withColumn("looked", F.lit(False)))
+        best = stage(both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= beam).drop("n"), "beam")
+    return best.select("q", "vid", "sim")
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embedding: str = "embedding", dimension: int = DIMENSION
+) -> DataFrame:
+    """query_id, other, sim, rank: the K vectors most similar to each query (key, embedding) that the graph search finds,
+    the query's own key left out; ties by key. Unusable vectors and queries stay out."""
+    _, points = vertices(vectors, key, embedding, dimension)
+    graph = stage(neighbour_graph(points, points.count(), dimension), "graph")
+    rows = queries.where(usable(embedding, dimension) & F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("q")).agg(F.min(embedding).alias("e"))
+
+    def pack(batches):
+        for b in batches:
+            flat = b.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dimension)
+            yield pa.RecordBatch.from_arrays([b.column("q"), pa.array([r.tobytes() for r in flat], pa.binary())], ["q", "vec"])
+
+    asked = stage(rows.mapInArrow(pack, "q bigint, vec binary"), "queries")
+    hits = search_graph(points, graph, asked, dimension).join(points.select("vid", "ids"), "vid")
+    each = hits.select(F.col("q").alias("query_id"), F.explode("ids").alias("other"), F.round("sim", 12).alias("sim")).where("other != query_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "other")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K)
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose id is divisible by 50 as queries against all vectors, by greedy search of the graph."""
+    t = table(spark, sf_dir, "note_embeddings")
+    return search(t, t.where("vec_id % 50 = 0"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which at least one is among the 10 most similar to the other."""
     n = nearest(table(spark, sf_dir, "note_embeddings"))
     return n.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p5_found": p5_found, "p5_search": p5_search}
 SQL: dict[str, str] = {}

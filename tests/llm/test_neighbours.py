@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from noteflow.llm.neighbours import K, nearest
+from noteflow.llm.neighbours import K, nearest, search
 
 SCHEMA = "vec_id bigint, embedding array<float>, sim double"
 
@@ -70,3 +70,15 @@ def test_hot_copies(spark):
     got, want = found(spark, rows, 8), truth(rows, 8)
     same = sum([a for a, _ in got[i]] == [a for a, _ in want[i]] for i in want)
     assert same / len(want) > 0.99
+
+
+def test_greedy_search_recall(spark):
+    x = clustered(4000, 16, 7)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, e, 0.5) for i, e in rows], SCHEMA)
+    got = {}
+    for r in search(df, df.where("vec_id % 50 = 0"), dimension=16).collect():
+        got.setdefault(r.query_id, set()).add(r.other)
+    want = truth(rows, 16)
+    assert sum(len(got[i] & {a for a, _ in want[i]}) for i in range(0, 4000, 50)) / (K * 80) > 0.95
+    assert search(df.limit(0), df.limit(0), dimension=16).count() == 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import evaluation, graph, incremental, learned, lexical, notes, references, vectors
+from noteflow.operators import evaluation, extraction, graph, incremental, learned, lexical, notes, references, vectors
 
-MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, learned]
+MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, learned]
 
 
 def queries() -> dict:

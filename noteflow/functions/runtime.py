@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,29 @@ def _clean() -> None:
             return
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session, once: their Python need not have it installed. The archive
+    goes through the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/noteflow/{root.name}-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    _paths.append((spark, path.toString()))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
 

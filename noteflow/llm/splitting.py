@@ -146,8 +146,9 @@ def split_items(items: DataFrame, key: str, text: str, keep: list[str] = (), lim
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = table(spark, sf_dir, "atomic_notes").select("note_id", "chunk_index", "original_text", "ingested_at")
-    return latest(long, ["note_id"])
+    # short texts are not shuffled: they give no rows, whichever delivery is the last
+    long = F.when(F.char_length("original_text") > LIMIT, F.col("original_text")).alias("original_text")
+    return latest(table(spark, sf_dir, "atomic_notes").select("note_id", "chunk_index", long, "ingested_at"), ["note_id"])
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ FIELD_PATTERNS = [
     r"@@[A-Za-z_]+@@",
     r"__[A-Z][A-Z_]*[A-Z]__",
     r"\[\[\[[^\[\]\n]{1,60}\]\]\]",
+    r"\[\[\s*[a-z]+(?:[_.][a-z]+)*\s*\]\]",
     r"[«‹][A-Z]{2,}(?:_[A-Z]+)*[»›]",
     r"(?<![\w{])\{\s*(?:[a-z]+(?:[_.][a-z]+)*|\d)\s*\}(?![\w}])(?!\s*[,:]\s*\{)|\{[a-z]+_[a-z_]+\}|\{\d\}",  # {name}, {3}
     r"<!--\s*[\w.\[\]\- ]{1,40}(?:goes here|here|placeholder)\s*-->",

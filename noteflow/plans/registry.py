@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import evaluation, extraction, graph, incremental, learned, lexical, notes, reasoning, references, selection, vectors
+from noteflow.operators import evaluation, extraction, graph, incremental, learned, lexical, notes, reasoning, references, retrieval, selection, vectors
 
-MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, selection, reasoning, learned]
+MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, selection, reasoning, retrieval, learned]
 
 
 def queries() -> dict:

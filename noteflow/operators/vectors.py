@@ -89,6 +89,63 @@ def ivf_index(rows: DataFrame, key: str, column: str, cells: int = 16, seed: int
     return model.transform(vector).select(key, column, F.col("prediction").alias("cell")), model
 
 
+def ivf_search(index: DataFrame, model, queries: DataFrame, key: str, column: str, probes: int, k: int = 10) -> DataFrame:
+    """query_id, id, sim, rank: the k best rows of the `probes` cells nearest to each query, the query's own key left out.
+    index: as `ivf_index` gives it; rows and queries meet by cell, each cell as one matrix product per block of rows."""
+    centres = np.stack(model.clusterCenters())
+    kinds = "query_id bigint, e array<float>, cell int"
+
+    def route(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.stack(b.column("e").to_pylist()).astype(np.float64)
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+                n = min(probes, len(centres))
+                cells = np.argsort(d, axis=1, kind="stable")[:, :n]
+                at = pa.array(np.repeat(np.arange(len(x)), n))
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("e").take(at), pa.array(cells.ravel(), pa.int32())], ["query_id", "e", "cell"])
+
+    asked = usable(queries, column).select(F.col(key).cast("bigint").alias("query_id"), F.col(column).cast("array<float>").alias("e")).mapInArrow(route, kinds)
+    # large cells are cut into parts, and their queries repeated
+    sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = index.join(sizes, "cell").select(F.col("cell").alias("c"), F.pmod(F.xxhash64(key), "parts").cast("int").alias("part"), F.col(key).cast("bigint").alias("id"), F.col(column).alias("v"))
+    asked = asked.join(sizes, "cell").select("cell", "query_id", "e", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+
+    def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        x, y = (np.stack(t.column(c).to_pylist()).astype(np.float64) for t, c in ((q, "e"), (r, "v")))
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        y /= np.sqrt((y * y).sum(axis=1))[:, None]
+        qi, ri = q.column("query_id").to_numpy(), r.column("id").to_numpy()
+        s = np.round(x @ y.T, 6)
+        s[qi[:, None] == ri[None, :]] = -2
+        edge = -np.partition(-s, min(k, len(ri)) - 1, axis=1)[:, min(k, len(ri)) - 1]
+        a, c = np.nonzero((s >= edge[:, None]) & (s > -2))
+        return pa.table({"query_id": qi[a], "id": ri[c], "sim": s[a, c]})
+
+    best = asked.groupBy("cell", "p").cogroup(rows.groupBy("c", "part")).applyInArrow(run, "query_id bigint, id bigint, sim double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def tune_probes(rows: DataFrame, queries: DataFrame, key: str, column: str, target: float = 0.9, choices=(1, 2, 4, 8, 16)) -> tuple[int, list[tuple[int, float]]]:
+    """The fewest probes whose recall against the exact search reaches `target` (the most if none does), and what was
+    measured. One run per choice; only its recall comes to the driver."""
+    index, model = ivf_index(rows, key, column)
+    index = stage(index, "ivf")
+    exact = stage(search(rows, queries, key, column).select("query_id", "id"), "exact")
+    total = exact.count()
+    tried = []
+    for n in choices:
+        hits = ivf_search(index, model, queries, key, column, n).select("query_id", "id").join(exact, ["query_id", "id"], "left_semi").count()
+        tried.append((n, hits / total if total else 1.0))
+        if tried[-1][1] >= target:
+            break
+    return tried[-1][0], tried
+
+
 def label_centroids(df: DataFrame, column: str, label: str) -> DataFrame:
     """label, size, centroid_norm, spread: per label the length of its mean vector and the mean squared distance from it.
     Sums per label and position are combined map-side."""
@@ -121,11 +178,18 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
+def _ivf_recall(s: SparkSession, d: str) -> DataFrame:
+    """probes, recall as far as they were needed."""
+    e = _vectors(s, d)
+    return s.createDataFrame(tune_probes(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")[1], "probes int, recall double")
+
+
 QUERIES = {
     "vector_norms": lambda s, d: _vectors(s, d).select("vec_id", F.round(norm(F.col("embedding")), 5).alias("norm"), F.size("embedding").alias("dimension")),
     "vector_search": lambda s, d: _hits(s, d).select("query_id", F.col("id").alias("vec_id"), F.round("sim", 4).alias("sim")),
     "label_centroids": lambda s, d: label_centroids(_vectors(s, d), "embedding", "label"),
     "threshold_grid": lambda s, d: threshold_grid(_hits(s, d), _vectors(s, d), "vec_id", "label"),
+    "ivf_recall": _ivf_recall,
     "vector_cells": lambda s, d: ivf_index(_vectors(s, d), "vec_id", "embedding")[0].groupBy("cell").agg(F.count(F.lit(1)).alias("size")),
 }
 

@@ -177,6 +177,18 @@ def test_queries_survive_empty_tables(spark, tmp_path):
     for f in ("atomic_notes", "note_relations", "qa_results", "paragraphs", "documents", "note_embeddings", "embeddings", "alias_entries"):
         spark.read.parquet(f"{SF}/{f}.parquet").limit(0).write.parquet(f"{tmp_path}/{f}.parquet")
     for name, query in registry.queries().items():
-        if name in ("vector_cells", "learned_passage_scores"):  # there is nothing to fit
+        if name in ("vector_cells", "ivf_recall", "learned_passage_scores"):  # there is nothing to fit
             continue
         assert query(spark, str(tmp_path)).count() <= 1, name
+
+
+def test_all_cells_give_the_exact_result(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 6))
+    df = stage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"))
+    q = df.where("vec_id % 50 = 0")
+    index, model = vectors.ivf_index(df, "vec_id", "embedding", 8)
+    exact = {(r.query_id, r.id) for r in vectors.search(df, q, "vec_id", "embedding").collect()}
+    assert {(r.query_id, r.id) for r in vectors.ivf_search(stage(index), model, q, "vec_id", "embedding", 8).collect()} == exact
+    probes, tried = vectors.tune_probes(df, q, "vec_id", "embedding")
+    assert tried[-1][1] >= 0.9 and probes == tried[-1][0] and all(a[1] <= b[1] for a, b in zip(tried, tried[1:]))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Below this many rows a key is never hot: one task handles them easily.
 HOT_ROWS = 20_000
+#: Bytes of a part from which an input is not spread any further.
+LARGE_PART = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,10 +101,16 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition CPU-heavy input only when the scan gives fewer splits than the cluster has cores to use: large
-    inputs come with enough splits and are not shuffled."""
+    """Repartition CPU-heavy input only where it comes in fewer parts than the cluster has cores to use. A plain scan
+    tells its splits without being run. A plan with exchanges would have to be run to tell, so its estimated size
+    decides: large inputs come in enough parts and are not shuffled again."""
     want = 2 * parallelism(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        enough = int(str(plan.optimizedPlan().stats().sizeInBytes())) > want * LARGE_PART
+    else:
+        enough = df.rdd.getNumPartitions() >= want
+    return df if enough else df.repartition(want, *keys)
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:

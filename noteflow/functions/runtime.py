@@ -126,7 +126,8 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """`big` joined with `small`, which has each key once; rows of hot keys are spread over salts and only the few
     hot rows of `small` are repeated. `big` is scanned once more for the key counts (combined map-side), so it
-    should be a scan or a staged table. how: inner, left, left_semi or left_anti."""
+    should be a scan or a staged table; then a row's salt is the same again when its task is repeated. how: inner, left,
+    left_semi or left_anti."""
     hot = hot_keys(big, keys, rows)
     salt = F.when(F.col("__salts").isNotNull(), F.floor(F.rand(7) * F.col("__salts")).cast("int")).otherwise(F.lit(0))
     left = big.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__salts")

@@ -1,14 +1,15 @@
 """Problem 8: template residue, filler, error pages and demands for scripts.
 
 Rules give trusted labels: an unfilled template field anywhere in a text, or a text that has nothing but residue and
-page furniture. Labels of whole-text residue then spread through the connected components of near-duplicates: texts
-are placed in SimHash tables (bands of a 64-bit SimHash over five-word shingles), the newly labelled are joined with
-the unlabelled of their buckets, pairs are verified by Hamming distance and by the similarity of their shingles, and
-the round is repeated with what it labelled until nothing is new. Equal texts are one vertex throughout.
+page furniture. Labels of whole-text residue then spread through the connected components of near-duplicates: the newly
+labelled are joined with the unlabelled of about their size by the prefixes of their sorted five-word shingles, which
+misses no similar pair at any number of texts, pairs are verified by all their shingles, and the round is repeated
+with what it labelled until nothing is new. Equal texts are one vertex throughout.
 """
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 import numpy as np
@@ -18,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteflow.functions.runtime import lookup_join, spread, stage, table
+from noteflow.functions.runtime import drop_stage, lookup_join, spread, stage, table
 
 SIMILARITY, SHINGLE = 0.8, 5
-#: The largest Hamming distance of 64-bit SimHashes that is worth a comparison of texts.
-HAMMING = 18
-#: Chance that a table puts a similar pair in one bucket is BIT_AGREES ** bits; tables are added up to FOUND.
-BIT_AGREES, FOUND = 0.85, 0.95
+#: Share of similar pairs that the join finds: prefixes miss none.
+FOUND = 1.0
+#: Similar texts are in the same or in neighbouring bands of sizes; above 1 / SIMILARITY, so rounding cannot part them.
+BAND = 1.3
 
 _NAME = r"[A-Za-z_][\w.\-]*(?:\[\d+\])?(?:\.\w+)*"
 # The spellings of template fields, one per template language.
@@ -247,8 +248,14 @@ def _simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(bits.sum(axis=0) * 2 > len(bits)).view(np.int64)[0])
 
 
+def _needed(n: int) -> int:
+    """The least number of shingles that a set of n shares with any set similar to it."""
+    return int(np.ceil(SIMILARITY * n - 1e-9))
+
+
 def text_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, vid (stands for an exact text), kind, simhash for every text that is neither null nor blank."""
+    """key, vid (stands for an exact text), kind, n (number of shingles), prefix for every text that is neither null nor
+    blank. Two similar texts share a shingle of their prefixes: the smallest n - needed + 1 shingles."""
     kind_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -257,56 +264,51 @@ def text_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             rows = []
             for t in b.column("t").to_pylist():
                 if t not in seen:
-                    seen[t] = (int(np.uint64(xxhash.xxh64_intdigest(t)).astype(np.int64)), kind_of(t), _simhash(_shingles(t)))
+                    s = _shingles(t)
+                    seen[t] = (int(np.uint64(xxhash.xxh64_intdigest(t)).astype(np.int64)), kind_of(t), len(s), s[: len(s) - _needed(len(s)) + 1].astype(np.int64))
                 rows.append(seen[t])
-            vid, kind, sim = zip(*rows, strict=True) if rows else ((), (), ())
+            vid, kind, n, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(vid, pa.int64()), pa.array(kind, pa.string()), pa.array(sim, pa.int64())],
-                ["k", "vid", "kind", "simhash"],
+                [b.column("k"), pa.array(vid, pa.int64()), pa.array(kind, pa.string()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["k", "vid", "kind", "n", "prefix"],
             )
 
     narrow = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, simhash bigint")
+    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, n int, prefix array<bigint>")
     return out.withColumnRenamed("k", key)
 
 
-def table_plan(rows: int) -> list[list[int]]:
-    """The bit positions that make the key of each SimHash table: more rows need longer keys and so more tables."""
-    bits = int(np.clip(round(np.log2(max(rows, 2))) - 4, 8, 20))
-    tables = int(np.ceil(np.log(1 - FOUND) / np.log(1 - BIT_AGREES**bits)))
-    rng = np.random.default_rng(5)
-    return [sorted(rng.choice(64, bits, replace=False).tolist()) for _ in range(tables)]
-
+def similar_candidates(front: DataFrame, free: DataFrame) -> DataFrame:
+    """vid, kind, u: every pair of a text of `front` (vid, kind, n, prefix) and one of `free` (u, un, uprefix) that may be
+    similar. Pairs go whose sizes, or the shingles left after the first that both share, are too few."""
+    a = front.select("vid", "kind", "n", F.posexplode("prefix").alias("i", "shingle"))
+    b = free.select("u", "un", F.posexplode("uprefix").alias("j", "shingle"))
+    met = a.join(b, "shingle").where((F.col("un") >= SIMILARITY * F.col("n") - 1e-9) & (F.col("n") >= SIMILARITY * F.col("un") - 1e-9))
+    first = met.groupBy("vid", "u").agg(F.min(F.struct("i", "j", "kind", "n", "un")).alias("m"))
+    left = F.least(F.col("m.n") - F.col("m.i"), F.col("m.un") - F.col("m.j"))
+    return first.where(left >= SIMILARITY / (1 + SIMILARITY) * (F.col("m.n") + F.col("m.un")) - 1e-9).select("vid", "m.kind", "u")
 
-def _keys(df: DataFrame, plan: list[list[int]]) -> DataFrame:
-    """One row per table: its number and the key."""
-    masks = [sum(1 << b for b in bits) for bits in plan]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in signed])
-    return df.select("*", F.posexplode(keys).alias("t", "key"))
 
-
-def spread_labels(marks: DataFrame, docs: DataFrame, text: str = "text", rounds: int = 20) -> DataFrame:
+def spread_labels(marks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """vid, kind of texts that a chain of near-duplicates connects with a text whose kind holds for the whole text.
 
-    marks: staged result of `text_marks`; docs has the texts. A template field is no label of the whole text (the
-    article around it has sound near-duplicates), so it does not spread.
+    marks: staged result of `text_marks` (prefixes that it lacks are made from the texts); docs has the texts. A template
+    field is no label of the whole text (the article around it has sound near-duplicates), so it does not spread.
     """
-    nodes = stage(marks.groupBy("vid").agg(F.first("kind").alias("kind"), F.first("simhash").alias("simhash")), "texts")
-    plan = table_plan(nodes.count())
+    if "prefix" not in marks.columns:
+        s = _shingle_table(marks, docs, marks.select("vid").distinct(), text).withColumn("n", F.size("s"))
+        marks = marks.join(s.select("vid", "n", F.slice("s", F.lit(1), F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9).cast("int") + 1).alias("prefix")), "vid").select(marks.columns[0], "vid", "kind", "n", "prefix")
+    nodes = marks.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("kind", "n", "prefix")])
+    nodes = stage(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")), "texts")
     front = nodes.where(F.col("kind").isin("script", "error", "filler"))
-    free = _keys(nodes.where(F.col("kind").isNull()).select(F.col("vid").alias("u"), F.col("simhash")), plan)
-    free = free.withColumnRenamed("simhash", "us")
     found = None
-    for _ in range(rounds):
-        near = (
-            _keys(front.select("vid", "kind", "simhash"), plan).join(free, ["t", "key"])
-            .where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("us"))) <= HAMMING)
-            .select("vid", "kind", "u").distinct()
-        )
+    for step in itertools.count(1):
+        bands = {r.band + d for r in front.select("band").distinct().collect() for d in (-1, 0, 1)}  # the logarithm of a length
+        free = nodes.where(F.col("kind").isNull() & F.col("band").isin(*sorted(bands)))
         if found is not None:
-            near = near.join(found.select(F.col("vid").alias("u")), "u", "left_anti")
-        near = stage(near, "near-texts")
+            free = free.join(found, "vid", "left_anti")
+        free = free.select(F.col("vid").alias("u"), F.col("n").alias("un"), F.col("prefix").alias("uprefix"))
+        near = stage(similar_candidates(front, free), "near-texts")
         if near.isEmpty():
             break
         ids = near.select("vid").union(near.select("u")).distinct()
@@ -315,14 +317,17 @@ def spread_labels(marks: DataFrame, docs: DataFrame, text: str = "text", rounds:
         both = F.size(F.array_intersect("vid_s", "u_s"))
         new = (
             near.join(a, "vid").join(b, "u")
-            .where(both >= SIMILARITY * (F.size("vid_s") + F.size("u_s") - both))
+            .where(both >= SIMILARITY * (F.size("vid_s") + F.size("u_s") - both) - 1e-9)
             .groupBy(F.col("u").alias("vid")).agg(F.min("kind").alias("kind"))
         )
         new = stage(new, "labelled")
+        drop_stage(near, shingles)
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
-        front = new.join(nodes.select("vid", "simhash"), "vid")
+        if step % 10 == 0:  # a long chain makes no long plan
+            found = stage(found, "labelled")
+        front = nodes.drop("kind").join(new, "vid")
     return found if found is not None else nodes.select("vid", "kind").limit(0)
 
 

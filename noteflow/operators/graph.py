@@ -193,13 +193,15 @@ def linear_fusion(r: DataFrame, dense: str = "semantic_similarity", sparse: str
     return scaled.groupBy("query", "candidate").agg(F.round(F.sum(F.col("scaled") * weight), 6).alias("score"))
 
 
-def rank_fusion(r: DataFrame, k: int = 50, pool: int = 20) -> DataFrame:
+def rank_fusion(r: DataFrame, k: int = 50, pool: int = 80) -> DataFrame:
     """query, candidate, score: sum of 1 / (k + rank) over the kinds of relation, rank by weight, ties by candidate;
-    the best `pool` candidates of each kind take part."""
+    all candidates of each kind take part, the best `pool` fused ones of a query come out."""
     rows = r.groupBy(F.col("source_id").alias("query"), F.col("target_id").alias("candidate"), "relation_type").agg(F.max("weight").alias("s"))
     w = Window.partitionBy("query", "relation_type").orderBy(F.desc("s"), "candidate")
-    ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
-    return ranked.groupBy("query", "candidate").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("score"))
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    fused = ranked.groupBy("query", "candidate").agg(F.round(F.sum(1 / (k + F.col("rank"))), 8).alias("score"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
+    return fused.withColumn("place", F.row_number().over(best)).where(F.col("place") <= pool).drop("place")
 
 
 def merged_evidence(r: DataFrame) -> DataFrame:

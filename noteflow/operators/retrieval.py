@@ -53,13 +53,13 @@ def boosted(q: DataFrame, p: DataFrame, scores: DataFrame) -> DataFrame:
     return j.select("id", "idx", "hits", F.round(base * F.least(F.pow(F.lit(1.2), F.col("hits")), F.lit(2.0)) * F.when(F.size("n") == 0, 1.0).otherwise(factor), 6).alias("score"))
 
 
-def ordered_union(primary: DataFrame, secondary: DataFrame, k: int = 10) -> DataFrame:
+def ordered_union(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """query, candidate, tier, place: distinct candidates, all of `primary` before those only in `secondary`, each by
-    score, the first k of a query. Both: query, candidate, score."""
+    score. Both: query, candidate, score."""
     both = primary.withColumn("tier", F.lit(1)).unionByName(secondary.withColumn("tier", F.lit(2)))
     best = both.groupBy("query", "candidate").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("m"))
     w = Window.partitionBy("query").orderBy("m", "candidate")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "candidate", F.col("m.tier").alias("tier"), "place")
+    return best.withColumn("place", F.row_number().over(w)).select("query", "candidate", F.col("m.tier").alias("tier"), "place")
 
 
 def by_quota(r: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def hop_candidates(e: DataFrame, derived: DataFrame) -> DataFrame:
     return one.unionByName(derived.select(F.col("src").alias("query"), F.col("dst").alias("candidate"), F.lit(2).alias("hop"), F.col("weight").alias("score")))
 
 
-def hop_filter(c: DataFrame, first: float = 0.2, keep: int = 5, tail: float = 0.15) -> DataFrame:
+def hop_filter(c: DataFrame, first: float = 0.2, keep: int = 5, tail: float = 0.1) -> DataFrame:
     """First-hop candidates over `first`; of the second hop the best `keep` whatever their score and the rest over
     `tail`. The final score falls by 0.85 per further hop."""
     w = Window.partitionBy("query", "hop").orderBy(F.desc("score"), "candidate")

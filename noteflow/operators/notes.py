@@ -135,7 +135,7 @@ def top_terms(df: DataFrame, group: str, term: str, k: int = 10) -> DataFrame:
     )
 
 
-def per_chunk_limit(df: DataFrame, most: int = 2) -> DataFrame:
+def per_chunk_limit(df: DataFrame, most: int = 12) -> DataFrame:
     """At most `most` notes of each chunk of a file: the most important, ties by note_id."""
     w = Window.partitionBy("source_info.file_name", "chunk_index").orderBy(F.desc(F.coalesce("importance_score", F.lit(-1.0))), "note_id")
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

@@ -128,16 +128,21 @@ def strongest_neighbours(e: DataFrame, k: int = 8) -> DataFrame:
     return e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def simple_paths(e: DataFrame, seeds: DataFrame, most_hops: int = 2, branch: int = 4) -> DataFrame:
-    """seed, path, hops, score: paths from each seed that visit no node twice, following the `branch` heaviest edges of
-    every node; the score is the product of weights over 1 + hops."""
-    e = stage(strongest_neighbours(e, branch).select("src", "dst", "weight"), "branches")
-    paths = seeds.select(F.col("node").alias("seed"), F.array("node").alias("path"), F.lit(0).alias("hops"), F.lit(1.0).alias("product"))
+def simple_paths(e: DataFrame, seeds: DataFrame, most_hops: int = 3, most_paths: int = 10) -> DataFrame:
+    """seed, path, hops, score: the first `most_paths` paths of each seed that visit no node twice, in breadth-first order
+    with the heaviest edges first, ties by node; the score is the product of weights over 1 + hops."""
+    e = stage(e.withColumn("turn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).select("src", "dst", "weight", "turn"), "branches")
+    paths = seeds.select(F.col("node").alias("seed"), F.array("node").alias("path"), F.array().cast("array<int>").alias("turns"), F.lit(0).alias("place"), F.lit(1.0).alias("product"))
+    done = seeds.select(F.col("node").alias("seed"), F.lit(0).alias("done"))
+    w = Window.partitionBy("seed").orderBy("turns")
     out = None
     for step in range(1, most_hops + 1):
         ahead = paths.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst")))
-        paths = stage(ahead.select("seed", F.array_append("path", F.col("dst")).alias("path"), F.lit(step).alias("hops"), (F.col("product") * F.col("weight")).alias("product")), "paths")
+        ahead = ahead.select("seed", F.array_append("path", F.col("dst")).alias("path"), F.array_append("turns", F.col("turn")).alias("turns"), F.lit(step).alias("hops"), (F.col("product") * F.col("weight")).alias("product"))
+        ahead = ahead.join(done, "seed").withColumn("place", F.col("done") + F.row_number().over(w)).drop("done")
+        paths = stage(ahead.where(F.col("place") <= most_paths), "paths")
         out = paths if out is None else out.unionByName(paths)
+        done = out.groupBy("seed").agg(F.max("place").alias("done"))
     return out.select("seed", "path", "hops", F.round(F.col("product") / (1 + F.col("hops")), 6).alias("score"))
 
 

@@ -83,7 +83,7 @@ def answer_features(q: DataFrame) -> DataFrame:
     )
 
 
-def beam_search(e: DataFrame, seeds: DataFrame, most_hops: int = 3, beam: int = 8, branch: int = 4) -> DataFrame:
+def beam_search(e: DataFrame, seeds: DataFrame, most_hops: int = 4, beam: int = 8, branch: int = 6) -> DataFrame:
     """seed, path, score: the `beam` best paths of each length per seed; weights add up, no node comes twice, at most
     `branch` ways on from a node."""
     e = stage(graph.strongest_neighbours(e, branch).select("src", "dst", "weight"), "branches")

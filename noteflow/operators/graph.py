@@ -6,6 +6,8 @@ in the shared folder, so plans stay short and survive lost executors.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,8 +148,9 @@ def simple_paths(e: DataFrame, seeds: DataFrame, most_hops: int = 3, most_paths:
     return out.select("seed", "path", "hops", F.round(F.col("product") / (1 + F.col("hops")), 6).alias("score"))
 
 
-def pagerank(e: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """node, rank: weighted PageRank after `rounds` rounds; ranks sum to 1. Dangling nodes share theirs with all."""
+def pagerank(e: DataFrame, rounds: int | None = 10, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """node, rank: weighted PageRank after `rounds` rounds; ranks sum to 1. Dangling nodes share theirs with all. With
+    rounds None: until the summed change is under `tolerance` a node and 1e-4 in all, so large graphs are not cut short."""
     nodes = stage(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "nodes")
     n = nodes.count()
     if not n:
@@ -156,11 +159,15 @@ def pagerank(e: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame
     shares = stage(e.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     senders = stage(shares.select(F.col("src").alias("node")).distinct(), "senders")
     ranks = stage(nodes.withColumn("rank", F.lit(1.0 / n)), "ranks")
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         lost = ranks.join(senders, "node", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         got = shares.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = nodes.join(got, "node", "left").crossJoin(F.broadcast(lost))
-        ranks = stage(new.select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")), "ranks")
+        new = ranks.join(got, "node", "left").crossJoin(F.broadcast(lost))
+        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        new = stage(new.select("node", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "ranks")
+        ranks = new.select("node", "rank")
+        if rounds is None and new.agg(F.sum("change")).first()[0] < min(n * tolerance, 1e-4):
+            break
     return ranks
 
 
@@ -267,7 +274,7 @@ QUERIES = {
     "neighbourhood": _e(lambda e: hops(undirected(e.where("weight >= 0.35")), _seeds(e), 2)),
     "strongest_neighbours": _e(strongest_neighbours),
     "reasoning_paths": _e(lambda e: simple_paths(e, _seeds(e)).select("seed", F.array_join("path", ">").alias("path"), "hops", "score")),
-    "note_pagerank": _e(lambda e: pagerank(e).select("node", F.round("rank", 9).alias("rank"))),
+    "note_pagerank": _e(lambda e: pagerank(undirected(e), None).select("node", F.round("rank", 9).alias("rank"))),
     "note_components": _e(components),
     "fusion_linear": _r(linear_fusion),
     "fusion_rank": _r(rank_fusion),

@@ -1,17 +1,19 @@
 """Problem 7: filling contexts of fixed capacity with texts, cutting none that fits.
 
 The plan of what goes where is made on counts: there are at most `capacity` different piece sizes, so the table of
-sizes and counts has at most `capacity` rows however large the corpus is. Sizes are routed to tiers (full, half,
-quarter, ... of the capacity); from the longest tier down, each tier's pieces first go into the fullest containers
-that still hold them (the gaps of the longer tiers), then open containers of their own. Containers with the same
-content are one pattern with a multiplicity. Pieces then find their container by their rank among the pieces of
-their size, which is counted per salt so that no size is sorted in one task. Containers are numbered so that each
-group of `step` containers gets an even share of fuller and emptier, longer and shorter content.
+sizes and counts has at most `capacity` rows however large the corpus is. Sizes are routed to tiers, each with a context
+size of its own (the capacity, its half, its quarter, ...). From the longest tier down, each piece of a tier opens a
+window of the tier's context size, and the gap is filled from what is left of its own and the shorter tiers, the longest
+piece that fits first. Well filled windows of a short tier are joined to containers of the capacity (2 halves, 4 quarters,
+...); badly filled ones are taken apart, and their pieces go into the gaps that are left, or new containers, by best
+fit. Containers with the same content are one pattern with a multiplicity. Pieces then find their container by their
+rank among the pieces of their size, which is counted per salt so that no size is sorted in one task. Containers are
+numbered so that each group of `step` containers gets an even share of fuller and emptier, longer and shorter content.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,29 +24,110 @@ from noteflow.llm.tokens import count_tokens
 CAPACITY = 1800
 #: Containers that one training step takes together.
 STEP = 64
-#: Tiers halve the capacity this often.
+#: Tiers: context sizes of the capacity, half of it, a quarter and so on.
 TIERS = 4
+#: The share of a short window that may stay empty; emptier windows are taken apart.
+SLACK = 0.01
+#: The table of slots is broadcast up to this many rows.
+SLOT_ROWS = 500_000
 #: Rows that one task ranks at most, about.
 RANK_ROWS = 250_000
 
 
 def tiers_of(capacity: int, tiers: int = TIERS) -> list[int]:
-    """Upper bounds of the tiers, longest first."""
-    return [max(1, capacity >> k) for k in range(tiers)]
+    """Context sizes of the tiers, longest first: parts of the capacity by powers of two, so that whole windows of a tier
+    fill a container."""
+    return [capacity >> k for k in range(tiers) if capacity >> k]
 
 
-def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, tiers: int = TIERS) -> list[tuple[tuple[int, ...], int]]:
+Pattern = tuple[int, ...]
+
+
+def _windows(left: dict[int, int], high: int, low: int) -> list[tuple[Pattern, int, int]]:
+    """(pattern, room, windows): each piece of a size in (low, high] opens a window of `high`, the longest first; gaps take
+    the longest pieces left that fit. What is used is taken from `left`."""
+    sizes = sorted(s for s, n in left.items() if n)
+    todo: list[tuple[Pattern, int, int]] = []
+    out: dict[tuple[Pattern, int], int] = {}
+
+    def take(size: int, n: int) -> None:
+        left[size] -= n
+        if not left[size]:
+            sizes.pop(bisect_left(sizes, size))
+
+    while True:
+        if not todo:
+            at = bisect_right(sizes, high) - 1
+            if at < 0 or sizes[at] <= low:
+                break
+            size, n = sizes[at], left[sizes[at]]
+            take(size, n)
+            todo.append(((size,), high - size, n))
+        pattern, room, n = todo.pop()
+        at = bisect_right(sizes, room) - 1
+        if at < 0 or n == 0:
+            out[(pattern, room)] = out.get((pattern, room), 0) + n
+            continue
+        size = sizes[at]
+        fit = min(room // size, max(1, left[size] // n))
+        some = min(n, left[size] // fit)
+        take(size, some * fit)
+        todo.append((pattern + (size,) * fit, room - fit * size, some))
+        if some < n:
+            todo.append((pattern, room, n - some))
+    return [(p, r, n) for (p, r), n in out.items() if n]
+
+
+def _join_windows(windows: list[tuple[Pattern, int, int]], group: int) -> tuple[list[tuple[Pattern, int, int]], list[tuple[Pattern, int, int]]]:
+    """Containers of `group` windows each, equal ones first, and the windows left over."""
+    out, open_ = [], []
+    for pattern, room, n in windows:
+        while open_ and n:
+            open_.append((pattern, room, 1))
+            n -= 1
+            if len(open_) == group:
+                out.append((sum((p for p, _, _ in open_), ()), sum(r for _, r, _ in open_), 1))
+                open_ = []
+        whole, rest = divmod(n, group)
+        if whole:
+            out.append((pattern * group, room * group, whole))
+        open_ += [(pattern, room, 1)] * rest
+    return out, open_
+
+
+def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, tiers: int = TIERS, slack: float = SLACK) -> list[tuple[Pattern, int]]:
     """Patterns (sizes in a container, longest first) with the number of containers each, for counts {size: pieces}.
 
     Works on sizes, not pieces: a step gives one piece of a size to all containers of a pattern at once, so the time
-    depends on the capacity and hardly on the counts.
+    depends on the capacity and hardly on the counts. Another number of tiers gives other patterns.
     """
-    bounds = [*tiers_of(capacity, tiers), 0]
-    open_: dict[int, dict[tuple[int, ...], int]] = {}  # room left: {pattern: containers}
+    left = {s: n for s, n in counts.items() if n}
+    bounds = tiers_of(capacity, tiers)
+    opened: list[tuple[Pattern, int, int]] = []
+    apart: dict[int, int] = {}
+    for t, high in enumerate(bounds):
+        made = _windows(left, high, bounds[t + 1] if t + 1 < len(bounds) else 0)
+        if t == 0:
+            opened += made
+            continue
+        group = capacity // high
+        good = sorted((w for w in made if w[1] <= slack * high), key=lambda w: (w[1], w[0]))
+        full, rest = _join_windows(good, group)
+        opened += [(p, capacity - sum(p), n) for p, _, n in full]
+        for pattern, _, n in rest + [w for w in made if w[1] > slack * high]:
+            for size in pattern:
+                apart[size] = apart.get(size, 0) + n
+    return _best_fit(apart, opened, capacity)
+
+
+def _best_fit(counts: dict[int, int], opened: list[tuple[Pattern, int, int]], capacity: int) -> list[tuple[Pattern, int]]:
+    """The pieces of `counts`, longest first, each in the fullest container that holds it; `opened` has containers with
+    room left."""
+    open_: dict[int, dict[Pattern, int]] = {}  # room left: {pattern: containers}
     rooms: list[int] = []
-    done: dict[tuple[int, ...], int] = {}
+    done: dict[Pattern, int] = {}
 
-    def put(pattern: tuple[int, ...], room: int, n: int) -> None:
+    def put(pattern: Pattern, room: int, n: int) -> None:
         if room == 0:
             done[pattern] = done.get(pattern, 0) + n
             return
@@ -53,40 +136,45 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY, tiers: int = T
             insort(rooms, room)
         open_[room][pattern] = open_[room].get(pattern, 0) + n
 
-    for high, low in zip(bounds[:-1], bounds[1:], strict=True):
-        for size in range(min(high, capacity), low, -1):
-            left = counts.get(size, 0)
-            while left:
-                at = bisect_left(rooms, size)
-                if at == len(rooms):
-                    fit = capacity // size
-                    full, rest = divmod(left, fit)
-                    if full:
-                        put((size,) * fit, capacity - fit * size, full)
-                    if rest:
-                        put((size,) * rest, capacity - rest * size, 1)
-                    break
-                room = rooms[at]
-                pattern, n = open_[room].popitem()
-                if not open_[room]:
-                    del open_[room]
-                    rooms.pop(at)
-                fit = room // size
-                # as many of this size as the gap takes, in as many containers as there are pieces for
-                whole = min(n, left // fit)
-                if whole:
-                    put(pattern + (size,) * fit, room - fit * size, whole)
-                    left -= whole * fit
-                if whole < n and left:
-                    put(pattern + (size,) * left, room - left * size, 1)
-                    left = 0
-                    whole += 1
-                if whole < n:
-                    put(pattern, room, n - whole)
+    for pattern, room, n in opened:
+        put(pattern, room, n)
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            at = bisect_left(rooms, size)
+            if at == len(rooms):
+                fit = capacity // size
+                full, rest = divmod(left, fit)
+                if full:
+                    put((size,) * fit, capacity - fit * size, full)
+                if rest:
+                    put((size,) * rest, capacity - rest * size, 1)
+                break
+            room = rooms[at]
+            pattern, n = open_[room].popitem()
+            if not open_[room]:
+                del open_[room]
+                rooms.pop(at)
+            fit = room // size
+            # as many of this size as the gap takes, in as many containers as there are pieces for
+            whole = min(n, left // fit)
+            if whole:
+                put(pattern + (size,) * fit, room - fit * size, whole)
+                left -= whole * fit
+            if whole < n and left:
+                put(pattern + (size,) * left, room - left * size, 1)
+                left = 0
+                whole += 1
+            if whole < n:
+                put(pattern, room, n - whole)
     for room in open_.values():
         for pattern, n in room.items():
             done[pattern] = done.get(pattern, 0) + n
-    return sorted(done.items(), key=lambda x: (-sum(x[0]), x[0]))
+    merged: dict[Pattern, int] = {}
+    for pattern, n in done.items():
+        key = tuple(sorted(pattern, reverse=True))
+        merged[key] = merged.get(key, 0) + n
+    return sorted(merged.items(), key=lambda x: (-sum(x[0]), x[0]))
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int]]:
@@ -140,11 +228,10 @@ def pack_items(
         .join(begins, ["tokens", "salt"])
         .withColumn("r", F.col("r") + F.col("begin"))
     )
-    slots = spark.createDataFrame(
-        _slots(patterns), "slot_tokens int, slot_rank bigint, slot_n bigint, slot_base bigint"
-    )
+    table_ = _slots(patterns)
+    slots = spark.createDataFrame(table_, "slot_tokens int, slot_rank bigint, slot_n bigint, slot_base bigint")
     placed = ranked.join(
-        F.broadcast(slots),
+        F.broadcast(slots) if len(table_) <= SLOT_ROWS else slots,
         (F.col("tokens") == F.col("slot_tokens")) & (F.col("r") >= F.col("slot_rank")) & (F.col("r") < F.col("slot_rank") + F.col("slot_n")),
     )
     number = F.col("slot_base") + F.col("r") - F.col("slot_rank")
@@ -178,5 +265,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill}
+def tier_fill(packed: DataFrame, capacity: int = CAPACITY, tiers: int = TIERS) -> DataFrame:
+    """tier_tokens, containers, pieces, tokens, unused: the containers by the tier of their longest piece, and the share
+    of their room that stays empty."""
+    bounds = tiers_of(capacity, tiers)
+    own = packed.groupBy("container_no").agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    tier = F.coalesce(*[F.when(F.col("longest") > low, F.lit(high)) for high, low in zip(bounds, [*bounds[1:], 0], strict=True)])
+    return own.groupBy(tier.alias("tier_tokens")).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"),
+        F.round(1 - F.sum("tokens") / (F.count(F.lit(1)) * capacity), 6).alias("unused"),
+    )
+
+
+def p7_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each tier are."""
+    return tier_fill(p7_packed(spark, sf_dir))
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p7_tiers": p7_tiers}
 SQL: dict[str, str] = {}

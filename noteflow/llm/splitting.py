@@ -2,8 +2,10 @@
 
 The least number of pieces sets equal-length targets for the cuts. Each cut snaps to the strongest boundary near its
 target that keeps the piece within the limit and the rest within its pieces; if some cut finds none, or only a weaker
-one than stands near its target, pieces are added and the targets are placed anew. Where the text itself has no boundary
-within reach, the cut is made at the limit.
+one than stands near its target, pieces are added and the targets are placed anew. More than twice the least number
+are not made for stronger boundaries; if the targets then still meet no boundary, each cut goes to the farthest boundary
+that its piece reaches, which finds natural cuts wherever the text allows any. Only where it allows none, cuts are made
+at the limit.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from noteflow.functions.runtime import spread, table
 from noteflow.operators.references import latest
 
 LIMIT, OVERLAP = 512, 50
-#: By how much the number of pieces grows from one attempt to the next, at least one piece, and how often.
-GROWTH, ATTEMPTS = 0.02, 8
+#: By how much the number of pieces grows from one attempt to the next, at least by one piece.
+GROWTH = 0.1
 
 #: Boundaries by strength; a cut is made behind the match.
 _BOUNDARIES = [
@@ -94,14 +96,29 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Pi
     least = -(-(length - overlap) // (limit - overlap))
     best = None
     n = least
-    for _ in range(ATTEMPTS):
+    while n <= 2 * least:
         placed = _place(length, n, limit, overlap, at, strength, force=False)
         if placed and (best is None or placed[1] < best[1]):
             best = placed
         if best and not best[1]:
             break
-        n += max(1, int(least * GROWTH))
-    return (best or _place(length, least, limit, overlap, at, strength, force=True))[0]
+        n += max(1, int(n * GROWTH))
+    if best:
+        return best[0]
+    return _farthest(length, limit, overlap, at) or _place(length, least, limit, overlap, at, strength, force=True)[0]
+
+
+def _farthest(length: int, limit: int, overlap: int, at: list[int]) -> list[Piece] | None:
+    """Each cut at the farthest boundary within the limit, or None if some piece reaches none: then no choice of cuts is
+    natural throughout, as a farther cut never reaches less."""
+    pieces, start = [], 0
+    while length - start > limit:
+        k = bisect_right(at, min(start + limit, length - 1)) - 1
+        if k < 0 or at[k] <= start + overlap:
+            return None
+        pieces.append(Piece(start, at[k], "boundary"))
+        start = at[k] - overlap
+    return [*pieces, Piece(start, length, "end")]
 
 
 def has_solid_run(text: str, limit: int = LIMIT) -> bool:

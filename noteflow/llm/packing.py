@@ -44,8 +44,8 @@ Pattern = tuple[int, ...]
 
 
 def _windows(left: dict[int, int], high: int, low: int) -> list[tuple[Pattern, int, int]]:
-    """(pattern, room, windows): each piece of a size in (low, high] opens a window of `high`, the longest first; gaps take
-    the longest pieces left that fit. What is used is taken from `left`."""
+    """(pattern, room, windows): pieces of a size in (low, high] open windows of `high`, the longest first; gaps take the
+    longest pieces left that fit. What is used is taken from `left`."""
     sizes = sorted(s for s, n in left.items() if n)
     todo: list[tuple[Pattern, int, int]] = []
     out: dict[tuple[Pattern, int], int] = {}
@@ -62,7 +62,9 @@ def _windows(left: dict[int, int], high: int, low: int) -> list[tuple[Pattern, i
                 break
             size, n = sizes[at], left[sizes[at]]
             take(size, n)
-            todo.append(((size,), high - size, n))
+            full, rest = divmod(n, high // size)
+            todo += [((size,) * rest, high - rest * size, 1)] if rest else []
+            todo += [((size,) * (high // size), high % size, full)] if full else []
         pattern, room, n = todo.pop()
         at = bisect_right(sizes, room) - 1
         if at < 0 or n == 0:

@@ -1,19 +1,24 @@
 """Problem 8: template residue, filler, error pages and demands for scripts.
 
 Rules give trusted labels: an unfilled template field anywhere in a text, or a text that has nothing but residue and
-page furniture. Labels of whole-text residue then spread through the connected components of near-duplicates: the newly
-labelled are joined with the unlabelled of about their size by the prefixes of their sorted five-word shingles, which
-misses no similar pair at any number of texts, pairs are verified by all their shingles, and the round is repeated
-with what it labelled until nothing is new. Equal texts are one vertex throughout.
+page furniture. Labels of whole-text residue then spread through the connected components of near-duplicates. The texts
+are compared without markup and furniture, by the five-word shingles of what is left: a SimHash of many bits is cut into
+tables, so many that a pair at the least similarity shares a key with FOUND probability at any number of texts; pairs
+that share a key are verified by Hamming distance, then by their shingles; a round is repeated with what it labelled until
+nothing is new. Equal texts are one vertex throughout.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,18 +27,24 @@ from pyspark.sql import functions as F
 from noteflow.functions.runtime import drop_stage, lookup_join, spread, stage, table
 
 SIMILARITY, SHINGLE = 0.8, 5
-#: Share of similar pairs that the join finds: prefixes miss none.
-FOUND = 1.0
+#: The share of pairs at SIMILARITY that the tables find (more similar ones are found more often).
+FOUND = 0.97
+#: The share of bits in which the SimHashes of two texts at SIMILARITY agree: the angle between sets of equal size.
+BIT_AGREES = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Pairs whose SimHashes differ in more bits than SPARE standard deviations over what is expected are not compared by text.
+SPARE = 5
 #: Similar texts are in the same or in neighbouring bands of sizes; above 1 / SIMILARITY, so rounding cannot part them.
 BAND = 1.3
+#: Labelled texts of one bucket that meet its unlabelled texts in one step; the others meet in the next steps what is still unlabelled.
+SLICE = 64
 
-_NAME = r"[A-Za-z_][\w.\-]*(?:\[\d+\])?(?:\.\w+)*"
+_NAME = r"[A-Za-z_][\w.\-]*+(?:\[\d+\])?+(?:\.\w+)*+"
 # The spellings of template fields, one per template language.
 FIELD_PATTERNS = [
-    r"\{\{\{?\s*" + _NAME + r"[^{}\n]{0,40}\}\}",  # {{ name }}, {{{name|}}}
-    r"\{%-?\s*\w+[^%\n]{0,60}%\}",  # {% block name %}
-    r"<%[=\-]?\s*" + _NAME + r"[^%\n]{0,60}%>",  # <%= name %>
-    r"[$#@]\{\s*" + _NAME + r"[^{}\n]{0,40}\}",  # ${name}, #{name}
+    r"\{\{\{?\s*" + _NAME + r"[^{}\n]*+\}\}",  # {{ name }}, {{{name|}}}
+    r"\{%-?\s*\w++[^%\n]*+%\}",  # {% block name %}
+    r"<%[=\-]?\s*" + _NAME + r"[^%\n]*+%>",  # <%= name %>
+    r"[$#@]\{\s*" + _NAME + r"[^{}\n]*+\}",  # ${name}, #{name}
     r"\$\(\s*" + _NAME + r"\s*\)",  # $(name)
     r"(?<![\w$])\$[A-Z][A-Z_]{2,}\$?(?!\w)",  # $NAME$
     r"%\(" + _NAME + r"\)[sdfr]",  # %(name)s
@@ -41,20 +52,20 @@ FIELD_PATTERNS = [
     r"(?<!%)%[A-Z][A-Z_]{2,}%",
     r"@@[A-Za-z_]+@@",
     r"__[A-Z][A-Z_]*[A-Z]__",
-    r"\[\[\[[^\[\]\n]{1,60}\]\]\]",
+    r"\[\[\[[^\[\]\n]++\]\]\]",
     r"\[\[\s*[a-z]+(?:[_.][a-z]+)*\s*\]\]",
     r"[«‹][A-Z]{2,}(?:_[A-Z]+)*[»›]",
     r"(?<![\w{])\{\s*(?:[a-z]+(?:[_.][a-z]+)*|\d)\s*\}(?![\w}])(?!\s*[,:]\s*\{)|\{[a-z]+_[a-z_]+\}|\{\d\}",  # {name}, {3}
-    r"<!--\s*[\w.\[\]\- ]{1,40}(?:goes here|here|placeholder)\s*-->",
+    r"<!--\s*[\w.\[\]\- ]+?(?:goes here|here|placeholder)\s*-->",
     r"&lt;\s*[A-Za-z]\w*(?:[_ .]\w+)*\s*&gt;",
-    r"\[(?:insert|enter|add|type|put|fill in|write)\b[^\[\]\n]{0,60}\]",
-    r"\[(?:your|our|the) [a-z][^\[\]\n]{0,40}\]",
+    r"\[(?:insert|enter|add|type|put|fill in|write)\b[^\[\]\n]*+\]",
+    r"\[(?:your|our|the) [a-z][^\[\]\n]*+\]",
     r"\[[A-Za-z]+(?:_[A-Za-z]+)+\]",
-    r"\[(?:hier|bitte)\b[^\[\]\n]{1,50}\]|\[[^\[\]\n]{1,50}\b(?:einsetzen|einfügen|eintragen|eingeben)\]",
-    r"\[(?:insérer|insérez|saisir|saisissez|indiquer|votre|ici)\b[^\[\]\n]{0,50}\]",
-    r"\[(?:insertar|inserte|introduzca|introducir|escriba|indique|su|tu|aquí)\b[^\[\]\n]{0,50}\]",
-    r"[【\[［](?:此处|在此|请在此|请)[^】\]］\n]{0,30}[】\]］]",
-    r"\b(?:TODO|FIXME|TBD)\s*\([^()\n]{1,40}\)",
+    r"\[(?:hier|bitte)\b[^\[\]\n]++\]|\[[^\[\]\n]+?\b(?:einsetzen|einfügen|eintragen|eingeben)\]",
+    r"\[(?:insérer|insérez|saisir|saisissez|indiquer|votre|ici)\b[^\[\]\n]*+\]",
+    r"\[(?:insertar|inserte|introduzca|introducir|escriba|indique|su|tu|aquí)\b[^\[\]\n]*+\]",
+    r"[【\[［](?:此处|在此|请在此|请)[^】\]］\n]*+[】\]］]",
+    r"\b(?:TODO|FIXME|TBD)\s*\([^()\n]++\)",
     r"(?<![\w/])[X]{2}/[X]{2}/[X]{2,4}(?![\w/])|(?<!\w)(?:DD|MM)/(?:DD|MM)/YYYY(?!\w)",
 ]
 # Names of HTML elements, which are no template fields when written as <name>.
@@ -158,12 +169,11 @@ def _one_off(word: str) -> bool:
 _LATIN_PAIRS = [(w, {w[i : i + 2] for i in range(len(w) - 1)}) for w in LATIN_FILLER if len(w) > 3]
 
 
-def _is_filler(segment: str, words: list[str]) -> bool:
-    if _FILLER.search(segment):
-        return True
+def _is_filler(words: list[str]) -> bool:
+    """Pseudo-Latin, or the same words again and again."""
     if len(words) >= 4:
-        latin = sum(w in _LATIN or (len(w) > 3 and _one_off(w)) for w in words)
-        if latin >= 0.6 * len(words) and sum(w in _LATIN for w in words) >= 2:
+        exact = sum(w in _LATIN for w in words)
+        if exact >= 2 and sum(w in _LATIN or (len(w) > 3 and _one_off(w)) for w in words) >= 0.6 * len(words):
             return True
         kinds = len({w for w in words if not w.isdigit()})
         if len(words) >= 4 and kinds <= max(1, len(words) // 3):  # the same word again and again
@@ -189,148 +199,270 @@ def _clean(text: str) -> str:
     return regex.sub(r"[­​-‏⁠﻿]", "", text)
 
 
-def _segment_kind(segment: str, words: list[str]) -> str | None:
-    if _TOLD.search(segment):
-        return None
-    if len(words) <= 40:
-        if _THING.search(segment) and _ASK.search(segment):
-            return "script"
-        if _ERROR.search(segment):
-            return "error"
-    return "filler" if _is_filler(segment, words) else None
-
-
-def kind_of(text: str | None) -> str | None:
-    """field, script, error or filler; None for anything else, null and blank texts included.
-
-    A text is script, error or filler if at least one of its sentences is and the rest are page furniture: short lines
-    without a sentence, such as headings, menus and footers. One sentence of real content makes it a real text.
-    """
-    if not text or not text.strip():
-        return None
-    if has_field(text):
-        return "field"
-    plain = _clean(text)
-    markup = plain.lstrip().startswith("<")
-    if "<" in plain:
-        plain = _TAG.sub("\n", plain)
-    found: dict[str, int] = {}
-    content = 0
-    for segment in _SPLIT.splititer(plain):
-        segment = segment.strip() if segment else ""
-        words = _WORD.findall(segment.lower())
-        if not words:
-            continue
-        kind = _segment_kind(segment, words)
-        if kind:
-            found[kind] = found.get(kind, 0) + len(words)
-        elif _FURNITURE.search(segment) or (len(words) <= 8 and not regex.search(r"[.!?。！？]\W*$", segment)):
-            continue
+def _segment_kinds(segments: list[tuple[str, list[str]]]) -> list[str | None]:
+    """script, error, filler or None of each segment. The long lists of wordings run in one pass over all segments."""
+    if len(segments) < FEW:  # the pass would cost more than it saves
+        error, filler = [bool(_ERROR.search(t)) for t, _ in segments], [bool(_FILLER.search(t)) for t, _ in segments]
+    else:
+        text = pa.array([t for t, _ in segments], pa.string())
+        error, filler = (pc.match_substring_regex(text, p, ignore_case=True).to_pylist() for p in (_ERROR_RE2, _FILLER_RE2))
+    out: list[str | None] = []
+    for (t, words), is_error, is_filler in zip(segments, error, filler, strict=True):
+        if _THING.search(t) and _ASK.search(t):
+            kind = "script"
         else:
-            content += len(words)
-            if content > 12:
-                return None
-    if not found or content > 0.25 * sum(found.values()):
-        return None
-    best = max(found, key=lambda k: (found[k], k))
-    return best if sum(found.values()) >= 3 or markup or best in ("error", "script") else None
+            kind = "error" if is_error else "filler" if is_filler or _is_filler(words) else None
+        out.append(None if kind and _TOLD.search(t) else kind)
+    return out
+
+
+#: Segments under which the lists of wordings run one by one.
+FEW = 50
+_ERROR_RE2, _FILLER_RE2 = _ERROR.pattern, _FILLER.pattern.replace(r"\p{L}", r"\pL")
+
+
+def _segments(plain: str) -> Iterator[tuple[str, list[str]]]:
+    for t in _SPLIT.splititer(plain):
+        t = t.strip() if t else ""
+        words = _WORD.findall(t.lower())
+        if words:
+            yield t, words
+
+
+class _Reading:
+    """How far a text has been read, and what was found in it."""
+
+    def __init__(self, text: str):
+        plain = _clean(text)
+        self.markup = plain.lstrip().startswith("<")
+        self.segments = _segments(_TAG.sub("\n", plain) if "<" in plain else plain)
+        self.found: dict[str, int] = {}
+        self.content = 0
+
+    def next(self) -> list[tuple[str, list[str]]]:
+        """Segments of some more words than settle a real text."""
+        out, n = [], 0
+        for t, words in self.segments:
+            out.append((t, words))
+            n += len(words)
+            if n > 15:
+                break
+        return out
+
+    def take(self, segment: str, words: list[str], kind: str | None) -> bool:
+        """False if the text is a real one."""
+        if kind:
+            self.found[kind] = self.found.get(kind, 0) + len(words)
+        elif not (_FURNITURE.search(segment) or (len(words) <= 8 and not _ENDS.search(segment))):
+            self.content += len(words)
+        return self.content <= 12
 
+    def kind(self) -> str | None:
+        if not self.found or self.content > 0.25 * sum(self.found.values()):
+            return None
+        best = max(self.found, key=lambda k: (self.found[k], k))
+        return best if sum(self.found.values()) >= 3 or self.markup or best in ("error", "script") else None
 
-def _shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of SHINGLE words, of all words where there are fewer."""
-    words = _WORD.findall(_clean(text).lower())
-    n = max(1, len(words) - SHINGLE + 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE])) for i in range(n)], np.uint64))
 
+_ENDS = regex.compile(r"[.!?。！？]\W*$")
 
-def _simhash(shingles: np.ndarray) -> int:
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(axis=0) * 2 > len(bits)).view(np.int64)[0])
 
+def kinds_of(texts: list[str | None]) -> list[str | None]:
+    """field, script, error or filler of each text; None for anything else, null and blank texts included.
 
-def _needed(n: int) -> int:
-    """The least number of shingles that a set of n shares with any set similar to it."""
-    return int(np.ceil(SIMILARITY * n - 1e-9))
+    A text is script, error or filler if at least one of its sentences is and the rest are page furniture: short lines
+    without a sentence, such as headings, menus and footers. One sentence of real content makes it a real text. Texts are
+    read to the end or to the sentence that settles them.
+    """
+    out: list[str | None] = [None] * len(texts)
+    open_: list[tuple[int, _Reading]] = []
+    for i, t in enumerate(texts):
+        if t and t.strip():
+            if has_field(t):
+                out[i] = "field"
+            else:
+                open_.append((i, _Reading(t)))
+    while open_:
+        read = [(i, r, r.next()) for i, r in open_]
+        kinds = iter(_segment_kinds([s for _, _, part in read for s in part]))
+        open_ = []
+        for i, r, part in read:
+            marks = [next(kinds) for _ in part]
+            if not part:
+                out[i] = r.kind()
+            elif all(r.take(t, w, k) for (t, w), k in zip(part, marks, strict=True)):
+                open_.append((i, r))
+    return out
 
 
-def text_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, vid (stands for an exact text), kind, n (number of shingles), prefix for every text that is neither null nor
-    blank. Two similar texts share a shingle of their prefixes: the smallest n - needed + 1 shingles."""
+def kind_of(text: str | None) -> str | None:
+    """`kinds_of` a single text."""
+    return kinds_of([text])[0]
+
+
+#: Lines that are markup or furniture, in the syntax of RE2 (whose \W knows ASCII only).
+_FURNITURE_RE2 = "(?im)" + _FURNITURE.pattern.replace(r"[\d\W]", r"[^\pL]").replace(r"\W", r"[^\pL\pN\n]").replace(".", "[^\n]").replace("\\[^\n]", "\\.")
+_PLAIN_WORD = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]|[^\W_]+(?:['’\-][^\W_]+)*")
+_P = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit values."""
+    h = (h ^ (h >> np.uint64(30))) * _P[1]
+    h = (h ^ (h >> np.uint64(27))) * _P[2]
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of SHINGLE words, of all words where there are fewer; markup
+    and furniture are left out unless there is nothing else."""
+    low = pc.utf8_lower(pc.utf8_normalize(pa.array(texts, pa.string()), form="NFKC"))
+    core = pc.replace_substring_regex(pc.replace_substring_regex(low, r"</?[a-z!][^<>]*>", "\n"), _FURNITURE_RE2, "").to_pylist()
+    known: dict[str, int] = {}
+    out = []
+    for whole, text in zip(low.to_pylist(), core, strict=True):
+        words = _PLAIN_WORD.findall(text) or _PLAIN_WORD.findall(whole)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+        n = max(1, len(words) - SHINGLE + 1)
+        s = np.zeros(n, np.uint64)
+        for i in range(min(SHINGLE, len(words))):
+            s += h[i : i + n] * _P[i]
+        out.append(np.unique(_mix(s)))
+    return out
+
+
+def simhash(shingles: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of 64 * words bits, as signed 64-bit words; its bits are independent of each other."""
+    ones = np.zeros(64 * words, np.int64)
+    seeds = _mix(np.arange(1, words + 1, dtype=np.uint64) * _P[0])
+    for at in range(0, len(shingles), 4096):
+        part = shingles[at : at + 4096]
+        bits = np.unpackbits(_mix(part[:, None] ^ seeds).view(np.uint8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles)).view(np.int64)
+
+
+def table_plan(texts: int, found: float = FOUND) -> tuple[int, int]:
+    """Bits of a key and number of tables for so many texts: the bits grow with the logarithm of the texts, so buckets stay
+    small, and the tables with them, so a pair at SIMILARITY shares a key with the same probability at every size."""
+    bits = max(12, math.ceil(math.log2(max(texts, 1) / 16)))
+    return bits, math.ceil(math.log(1 - found) / math.log(1 - BIT_AGREES**bits))
+
+
+def text_marks(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, vid (stands for an exact text), kind, n (number of shingles), sim (SimHash of 64 * words bits) for every text that
+    is neither null nor blank."""
     kind_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            seen: dict[str, tuple] = {}
-            rows = []
-            for t in b.column("t").to_pylist():
-                if t not in seen:
-                    s = _shingles(t)
-                    seen[t] = (int(np.uint64(xxhash.xxh64_intdigest(t)).astype(np.int64)), kind_of(t), len(s), s[: len(s) - _needed(len(s)) + 1].astype(np.int64))
-                rows.append(seen[t])
-            vid, kind, n, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(vid, pa.int64()), pa.array(kind, pa.string()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["k", "vid", "kind", "n", "prefix"],
-            )
+            texts = b.column("t").to_pylist()
+            at: dict[str, int] = {}
+            for t in texts:
+                at.setdefault(t, len(at))
+            distinct = list(at)
+            sets = shingle_sets(distinct)
+            vid = np.array([xxhash.xxh64_intdigest(t) for t in distinct], np.uint64).view(np.int64)
+            sims = [simhash(s, words) for s in sets]
+            rows = pa.array([at[t] for t in texts], pa.int32())
+            cols = [pa.array(vid), pa.array(kinds_of(distinct), pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sims, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *[c.take(rows) for c in cols]], ["k", "vid", "kind", "n", "sim"])
 
     narrow = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, n int, prefix array<bigint>")
+    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, n int, sim array<bigint>")
     return out.withColumnRenamed("k", key)
 
 
-def similar_candidates(front: DataFrame, free: DataFrame) -> DataFrame:
-    """vid, kind, u: every pair of a text of `front` (vid, kind, n, prefix) and one of `free` (u, un, uprefix) that may be
-    similar. Pairs go whose sizes, or the shingles left after the first that both share, are too few."""
-    a = front.select("vid", "kind", "n", F.posexplode("prefix").alias("i", "shingle"))
-    b = free.select("u", "un", F.posexplode("uprefix").alias("j", "shingle"))
-    met = a.join(b, "shingle").where((F.col("un") >= SIMILARITY * F.col("n") - 1e-9) & (F.col("n") >= SIMILARITY * F.col("un") - 1e-9))
-    first = met.groupBy("vid", "u").agg(F.min(F.struct("i", "j", "kind", "n", "un")).alias("m"))
-    left = F.least(F.col("m.n") - F.col("m.i"), F.col("m.un") - F.col("m.j"))
-    return first.where(left >= SIMILARITY / (1 + SIMILARITY) * (F.col("m.n") + F.col("m.un")) - 1e-9).select("vid", "m.kind", "u")
-
-
-def spread_labels(marks: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def _keys(bits: int, tables: int):
+    """An array of the keys of all tables: table number, and `bits` bits of the SimHash of its own."""
+
+    def cut(t: int):
+        word, shift = divmod(t * bits, 64)
+        own = F.shiftrightunsigned(F.col("sim")[word], shift)
+        if shift + bits > 64:
+            own = own.bitwiseOR(F.shiftleft(F.col("sim")[word + 1], 64 - shift))
+        return own.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(t << bits))
+
+    return F.array(*[cut(t) for t in range(tables)])
+
+
+def near_texts(front: DataFrame, free: DataFrame, bits: int, tables: int, steps: list[DataFrame] | None = None) -> Iterator[DataFrame]:
+    """vid, kind, u: pairs of a text of `front` (vid, kind, n, band, sim) and one of `free` (the same, without kind) that share a
+    key, have sizes that allow the similarity and nearly the same SimHash. A bucket's labelled texts come in slices of
+    about SLICE, one DataFrame per slice, so that no bucket makes all its pairs at once; the caller takes what it has labelled
+    out of `free` in between (`steps` holds the current `free`)."""
+    size = 64 * math.ceil(bits * tables / 64)
+    most = int((1 - BIT_AGREES) * size + SPARE * math.sqrt(BIT_AGREES * (1 - BIT_AGREES) * size))
+    keyed = front.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    keyed = keyed.select("vid", "kind", "n", "sim", "band", F.explode(_keys(bits, tables)).alias("key"))
+    counts = keyed.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    keyed = keyed.join(counts, ["band", "key"]).withColumn("slice", F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int"))
+    # each bucket is one row on this side, so a hot one only splits the other
+    held = stage(keyed.groupBy("band", "key", "slice").agg(F.collect_list(F.struct("vid", "kind", "n", "sim")).alias("held")), "buckets")
+    last = held.agg(F.max("slice")).first()[0]
+    for s in range(0 if last is None else last + 1):
+        now = held.where(F.col("slice") == s).select("band", "key", "held")
+        free = steps[-1] if steps else free
+        asked = free.select(F.col("vid").alias("u"), F.col("n").alias("un"), F.col("sim").alias("usim"), "sim", "band").withColumn("key", F.explode(_keys(bits, tables))).drop("sim")
+        differ = lambda x: F.aggregate(F.zip_with(x["sim"], F.col("usim"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, d: a + d)
+        sized = lambda x: (F.col("un") >= SIMILARITY * x["n"] - 1e-9) & (x["n"] >= SIMILARITY * F.col("un") - 1e-9)
+        met = asked.join(now, ["band", "key"]).select("u", F.explode(F.filter("held", lambda x: sized(x) & (differ(x) <= most))).alias("x"))
+        yield met.groupBy("x.vid", "u").agg(F.min("x.kind").alias("kind"))
+    drop_stage(held)
+
+
+def spread_labels(marks: DataFrame, docs: DataFrame, plan: tuple[int, int], text: str = "text") -> DataFrame:
     """vid, kind of texts that a chain of near-duplicates connects with a text whose kind holds for the whole text.
 
-    marks: staged result of `text_marks` (prefixes that it lacks are made from the texts); docs has the texts. A template
-    field is no label of the whole text (the article around it has sound near-duplicates), so it does not spread.
+    marks: staged result of `text_marks`; docs has the texts. A template field is no label of the whole text (the article
+    around it has sound near-duplicates), so it does not spread.
     """
-    if "prefix" not in marks.columns:
-        s = _shingle_table(marks, docs, marks.select("vid").distinct(), text).withColumn("n", F.size("s"))
-        marks = marks.join(s.select("vid", "n", F.slice("s", F.lit(1), F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9).cast("int") + 1).alias("prefix")), "vid").select(marks.columns[0], "vid", "kind", "n", "prefix")
-    nodes = marks.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("kind", "n", "prefix")])
+    nodes = marks.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("kind", "n", "sim")])
     nodes = stage(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")), "texts")
     front = nodes.where(F.col("kind").isin("script", "error", "filler"))
     found = None
+
+    def unlabelled(bands: list[int]) -> DataFrame:
+        free = nodes.where(F.col("kind").isNull() & F.col("band").isin(bands)).drop("kind")
+        return free if found is None else free.join(found, "vid", "left_anti")
+
     for step in itertools.count(1):
-        bands = {r.band + d for r in front.select("band").distinct().collect() for d in (-1, 0, 1)}  # the logarithm of a length
-        free = nodes.where(F.col("kind").isNull() & F.col("band").isin(*sorted(bands)))
-        if found is not None:
-            free = free.join(found, "vid", "left_anti")
-        free = free.select(F.col("vid").alias("u"), F.col("n").alias("un"), F.col("prefix").alias("uprefix"))
-        near = stage(similar_candidates(front, free), "near-texts")
-        if near.isEmpty():
-            break
-        ids = near.select("vid").union(near.select("u")).distinct()
-        shingles = stage(_shingle_table(marks, docs, ids, text), "shingles")
-        a, b = (shingles.select(F.col("vid").alias(n), F.col("s").alias(f"{n}_s")) for n in ("vid", "u"))
-        both = F.size(F.array_intersect("vid_s", "u_s"))
-        new = (
-            near.join(a, "vid").join(b, "u")
-            .where(both >= SIMILARITY * (F.size("vid_s") + F.size("u_s") - both) - 1e-9)
-            .groupBy(F.col("u").alias("vid")).agg(F.min("kind").alias("kind"))
-        )
-        new = stage(new, "labelled")
-        drop_stage(near, shingles)
-        if new.isEmpty():
+        bands = sorted({r.band + d for r in front.select("band").distinct().collect() for d in (-1, 0, 1)})  # the logarithm of a length
+        steps = [unlabelled(bands)]
+        new = None
+        for near in near_texts(front, steps[0], *plan, steps):
+            near = stage(near, "near-texts")
+            if not near.isEmpty():
+                part = stage(_verified(near, marks, docs, text), "labelled")
+                if not part.isEmpty():
+                    new = part if new is None else new.unionByName(part)
+                    found = part if found is None else found.unionByName(part)
+                    steps.append(unlabelled(bands))
+            drop_stage(near)
+        if new is None:
             break
-        found = new if found is None else found.unionByName(new)
         if step % 10 == 0:  # a long chain makes no long plan
             found = stage(found, "labelled")
         front = nodes.drop("kind").join(new, "vid")
     return found if found is not None else nodes.select("vid", "kind").limit(0)
 
 
+def _verified(near: DataFrame, marks: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """vid, kind: the texts u of `near` (vid, kind, u) whose shingles are similar to those of vid."""
+    ids = near.select("vid").union(near.select("u")).distinct()
+    shingles = stage(_shingle_table(marks, docs, ids, text), "shingles")
+    a, b = (shingles.select(F.col("vid").alias(n), F.col("s").alias(f"{n}_s")) for n in ("vid", "u"))
+    both = F.size(F.array_intersect("vid_s", "u_s"))
+    return (
+        near.join(a, "vid").join(b, "u")
+        .where(both >= SIMILARITY * (F.size("vid_s") + F.size("u_s") - both) - 1e-9)
+        .groupBy(F.col("u").alias("vid")).agg(F.min("kind").alias("kind"))
+    )
+
+
 def _shingle_table(marks: DataFrame, docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     """vid, s: the shingles of the texts in `ids`, each text read from one of its rows."""
     key = marks.columns[0]
@@ -338,7 +470,7 @@ def _shingle_table(marks: DataFrame, docs: DataFrame, ids: DataFrame, text: str)
 
     def run(batches):
         for b in batches:
-            s = [_shingles(t).astype(np.int64).tolist() for t in b.column("t").to_pylist()]
+            s = [x.view(np.int64) for x in shingle_sets(b.column("t").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(s, pa.list_(pa.int64()))], ["vid", "s"])
 
     texts = docs.select(key, F.col(text).alias("t")).join(rows, key).groupBy("vid").agg(F.first("t").alias("t"))
@@ -346,21 +478,22 @@ def _shingle_table(marks: DataFrame, docs: DataFrame, ids: DataFrame, text: str)
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, kind of every text that is residue: field, script, error or filler.
+    """key, kind, how of every text that is residue: kind is field, script, error or filler, how is rule or spread.
 
     Null, blank and very short texts never are. Rows come out as often as they come in; a null key is kept. Other
     columns are ignored, an empty table gives no rows. `docs` should be a scan or a staged table, it is read again for
     the texts of near-duplicates.
     """
-    marks = stage(text_marks(docs, key, text), "text-marks")
-    more = spread_labels(marks, docs, text)
-    own = marks.where(F.col("kind").isNotNull()).select(key, "kind")
-    rest = lookup_join(marks.where(F.col("kind").isNull()).select(key, "vid"), more, ["vid"]).select(key, "kind")
+    plan = table_plan(docs.count())
+    marks = stage(text_marks(docs, math.ceil(plan[0] * plan[1] / 64), key, text), "text-marks")
+    more = spread_labels(marks, docs, plan, text)
+    own = marks.where(F.col("kind").isNotNull()).select(key, "kind", F.lit("rule").alias("how"))
+    rest = lookup_join(marks.where(F.col("kind").isNull()).select(key, "vid"), more, ["vid"]).select(key, "kind", F.lit("spread").alias("how"))
     return own.unionByName(rest)
 
 
 def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are residue, with the kind."""
+    """Documents that are residue, with the kind, and whether a rule or a near-duplicate told it."""
     return residue(table(spark, sf_dir, "documents"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from noteflow.llm.packing import pack_counts, pack_items
+from noteflow.llm.packing import pack_counts, pack_items, tier_fill
 from noteflow.llm.tokens import PairIndexEncoder, count_tokens, encode_corpus, read_vocabulary
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -99,6 +99,23 @@ def test_hot_size_and_steps_are_balanced(spark):
     assert max(full) - min(full) <= 200
 
 
+def test_tiers_matter_and_stay_tight():
+    """Another number of tiers packs otherwise, and none needs over a twentieth more than the least possible
+    containers."""
+    random.seed(5)
+    counts = {min(1800, 1 + int(random.expovariate(1 / 300))): random.randint(1, 9) for _ in range(500)}
+    made = {t: pack_counts(counts, 1800, t) for t in (1, 2, 4, 6)}
+    assert len({str(p) for p in made.values()}) == 4
+    least = -(-sum(s * n for s, n in counts.items()) // 1800)
+    assert all(sum(n for _, n in p) <= 1.05 * least for p in made.values())
+
+
+def test_fill_of_each_tier(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([100, 60, 40, 50, 50, 30, 30, 30])], "key bigint, n_tokens int")
+    out = {r.tier_tokens: (r.containers, r.pieces, r.tokens) for r in tier_fill(pack_items(df, "key", capacity=100, tiers=2), 100, 2).collect()}
+    assert out == {100: (2, 3, 200), 50: (2, 5, 190)}
+
+
 def test_packing_of_nothing(spark):
     assert pack_items(spark.createDataFrame([], "key bigint, n_tokens int"), "key").count() == 0
 

@@ -318,19 +318,22 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     and furniture are left out unless there is nothing else."""
     low = pc.utf8_lower(pc.utf8_normalize(pa.array(texts, pa.string()), form="NFKC"))
     core = pc.replace_substring_regex(pc.replace_substring_regex(low, r"</?[a-z!][^<>]*>", "\n"), _FURNITURE_RE2, "").to_pylist()
-    known: dict[str, int] = {}
-    out = []
-    for whole, text in zip(low.to_pylist(), core, strict=True):
-        words = _PLAIN_WORD.findall(text) or _PLAIN_WORD.findall(whole)
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter((known[w] for w in words), np.uint64, len(words))
-        n = max(1, len(words) - SHINGLE + 1)
-        s = np.zeros(n, np.uint64)
-        for i in range(min(SHINGLE, len(words))):
-            s += h[i : i + n] * _P[i]
-        out.append(np.unique(_mix(s)))
+    lists = [_PLAIN_WORD.findall(text) or _PLAIN_WORD.findall(whole) for whole, text in zip(low.to_pylist(), core, strict=True)]
+    # the words of all texts in one array; each text's runs are a slice of it
+    words = pa.array([w for ws in lists for w in ws], pa.string()).dictionary_encode()
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    h = np.concatenate([own[words.indices.to_numpy()], np.zeros(SHINGLE, np.uint64)])
+    runs = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        runs += h[i : i + len(runs)] * _P[i]
+    runs = _mix(runs)
+    out, at = [], 0
+    for ws in lists:
+        if len(ws) >= SHINGLE:
+            out.append(np.unique(runs[at : at + len(ws) - SHINGLE + 1]))
+        else:  # all words make one
+            out.append(_mix((h[at : at + len(ws)] * _P[: len(ws)]).sum(dtype=np.uint64, keepdims=True)))
+        at += len(ws)
     return out
 
 
@@ -341,7 +344,7 @@ def simhash(shingles: np.ndarray, words: int) -> np.ndarray:
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
         bits = np.unpackbits(_mix(part[:, None] ^ seeds).view(np.uint8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
     return np.packbits(2 * ones > len(shingles)).view(np.int64)
 
 

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from noteflow.functions.runtime import stage
 from noteflow.llm import names, pairs, registry, residue
 
@@ -117,17 +119,17 @@ def test_kinds_of_text(text, kind):
     assert residue.kind_of(text) == kind
 
 
-def test_labels_spread_to_near_copies_only(spark, monkeypatch):
+def test_labels_spread_to_near_copies_only(spark):
     words = [f"word{i}" for i in range(80)]
     seed, near, far = " ".join(words), " ".join(words[:79] + ["other"]), " ".join(reversed(words))
     chain = " ".join(words[:77] + ["other", "third", "fourth"])
-    monkeypatch.setattr(residue, "kind_of", lambda t: "error" if t == seed else None)
     docs = spark.createDataFrame([(1, seed), (2, near), (3, far), (4, near), (5, chain), (6, None), (7, "")], "doc_id bigint, text string")
-    marks = spark.createDataFrame([(i, hash(t) % 10**9, "error" if t == seed else None, residue._simhash(residue._shingles(t))) for i, t in docs.collect() if t], "doc_id bigint, vid bigint, kind string, simhash bigint")
-    monkeypatch.setattr(residue, "FOUND", 0.9999)
-    got = residue.spread_labels(stage(marks), docs).collect()
-    ids = {r.vid: r.doc_id for r in marks.collect()}
-    assert {ids[r.vid] for r in got} in ({4, 5}, {2, 5})
+    marks = stage(residue.text_marks(docs, 10).withColumn("kind", F.when(F.col("doc_id") == 1, "error")))
+    ids = {}
+    for r in marks.collect():
+        ids.setdefault(r.vid, set()).add(r.doc_id)
+    got = residue.spread_labels(marks, docs, (8, 80)).collect()
+    assert set().union(*[ids[r.vid] for r in got]) == {2, 4, 5}
 
 
 def test_residue_rows(spark):
@@ -140,7 +142,7 @@ def test_residue_rows(spark):
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_run(spark, name):
     df = registry.queries()[name](spark, "/root/testdata/sf0.001")
-    assert df.count() >= 0
+    assert len(set(df.columns)) == len(df.columns) and df.count() > 0
 
 
 def test_queries_survive_empty_tables(spark, tmp_path):

@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where the session names none (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or on local[*] a new one where the session names none (as in
+    tests). On a cluster a machine's own folder would be lost with the machine, so there the setting is required."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="noteflow-"))
         path = sc._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")

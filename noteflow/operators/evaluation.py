@@ -105,13 +105,18 @@ def filled_support(q: DataFrame, scores: DataFrame, k: int = 3) -> DataFrame:
     return best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "idx"))), lambda x: x["idx"].cast("string")), ",").alias("support"))
 
 
-def entailment(scores: DataFrame, q: DataFrame) -> DataFrame:
-    """id, score, verdict: 0.9 if some passage holds the answer, else the best keyword overlap; supported from 0.5,
-    weak from 0.1, else unsupported. Items without passages are unsupported with 0."""
-    g = scores.groupBy("id").agg(F.max(F.col("contains_answer").cast("int")).alias("c"), F.max("keyword").alias("k"))
-    s = q.select("id").join(g, "id", "left")
-    score = F.when(F.col("c") == 1, F.lit(0.9)).otherwise(F.coalesce("k", F.lit(0.0)))
-    return s.select("id", F.round(score, 6).alias("score")).withColumn("verdict", F.when(F.col("score") >= 0.5, "supported").when(F.col("score") >= 0.1, "weak").otherwise("unsupported"))
+def entailment(q: DataFrame, p: DataFrame) -> DataFrame:
+    """id, score, verdict: 0.9 if some passage holds the answer, else the share of the answer's words that the passages
+    hold; supported from 0.6 (such an answer is kept), weak from 0.1, else unsupported. Items without passages or answer
+    are unsupported with 0."""
+    answer = F.lower(F.trim(F.coalesce("predicted_answer", F.lit(""))))
+    j = q.select("id", answer.alias("a"), tx.word_set(F.col("predicted_answer")).alias("w")).join(p.select(F.col("item_id").alias("id"), F.lower(F.coalesce("paragraph_text", F.lit(""))).alias("t")), "id", "left")
+    g = j.groupBy("id").agg(
+        F.max(F.coalesce((F.col("a") != "") & F.contains("t", F.col("a")), F.lit(False)).cast("int")).alias("c"),
+        F.first("w").alias("w"), F.array_distinct(F.flatten(F.collect_list(F.array_intersect("w", tx.word_set(F.col("t")))))).alias("h"),
+    )
+    score = F.when(F.col("c") == 1, F.lit(0.9)).when(F.size("w") > 0, F.size("h") / F.size("w")).otherwise(F.lit(0.0))
+    return g.select("id", F.round(score, 6).alias("score")).withColumn("verdict", F.when(F.col("score") >= 0.6, "supported").when(F.col("score") >= 0.1, "weak").otherwise("unsupported"))
 
 
 def calibrate(scores: DataFrame, p: DataFrame) -> DataFrame:
@@ -125,10 +130,14 @@ def calibrate(scores: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def complexity(q: DataFrame) -> DataFrame:
-    """id, indicators, complex: a question with two or more signs of several hops (conjunction, comparison, several
-    names, length, number, relative clause)."""
+    """id, indicators, complex: a question with two or more of six signs: over ten words, `and`, `or`, several question
+    marks, a word of comparison, a question word in over eight words (all but the lengths as parts of the text)."""
     t, low = F.coalesce("question", F.lit("")), F.lower(F.coalesce("question", F.lit("")))
-    signs = [low.rlike(r" (and|or|und|oder|et|ou|y|o) "), low.rlike(r"(older|more|than|älter|plus|mayor)"), F.size(F.split(t, r" [A-Z]")) > 3, F.size(tx.tokens(t)) > 9, t.rlike(r"[0-9]"), low.rlike(r" (which|who|whose|that) ")]
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    signs = [
+        words > 10, F.contains(low, F.lit("and")), F.contains(low, F.lit("or")), F.char_length(t) - F.char_length(F.replace(t, F.lit("?"), F.lit(""))) > 1,
+        low.rlike("compare|difference|relationship|between"), low.rlike("why|how|what|when|where") & (words > 8),
+    ]
     n = sum((s.cast("int") for s in signs[1:]), signs[0].cast("int"))
     return q.select("id", n.alias("indicators"), (n >= 2).alias("complex"))
 
@@ -165,7 +174,7 @@ QUERIES = {
     "question_passage_scores": _qp(question_passage_scores),
     "best_passage": _qp(lambda q, p: best_passage(question_passage_scores(q, p))),
     "filled_support": _qp(lambda q, p: filled_support(q, question_passage_scores(q, p))),
-    "answer_entailment": _qp(lambda q, p: entailment(question_passage_scores(q, p), q)),
+    "answer_entailment": _qp(entailment),
     "support_calibration": _qp(lambda q, p: calibrate(question_passage_scores(q, p), p)),
     "question_complexity": _i(complexity),
     "unanswered_items": _qp(unanswered),
@@ -211,13 +220,15 @@ SQL = {
     "filled_support": f"""{_W}, {_SCORES}, n AS (SELECT DISTINCT id, unnest({_IDX}) AS idx, 1 AS named FROM qa),
 r AS (SELECT sc.id, sc.idx, row_number() OVER (PARTITION BY sc.id ORDER BY contains_answer::INT DESC, coalesce(named, 0) DESC, round(0.8::DOUBLE * keyword + 0.2::DOUBLE / (sc.idx + 1), 6) DESC, sc.idx) AS p FROM sc LEFT JOIN n ON sc.id = n.id AND sc.idx = n.idx QUALIFY p <= 3)
 SELECT id, string_agg(idx::VARCHAR, ',' ORDER BY p) AS support FROM r GROUP BY id""",
-    "answer_entailment": f"""{_W}, {_SCORES}, g AS (SELECT id, bool_or(contains_answer) AS c, max(keyword) AS k FROM sc GROUP BY id), s AS (SELECT qa.id, round(CASE WHEN c THEN 0.9 ELSE coalesce(k, 0.0) END, 6)::DOUBLE AS score FROM qa LEFT JOIN g USING (id))
-SELECT *, CASE WHEN score >= 0.5 THEN 'supported' WHEN score >= 0.1 THEN 'weak' ELSE 'unsupported' END AS verdict FROM s""",
+    "answer_entailment": f"""{_W}, w AS (SELECT id, lower(trim(coalesce(predicted_answer, ''))) AS a, {_WORDS.format('predicted_answer')} AS w FROM qa),
+g AS (SELECT w.id, any_value(w) AS w, bool_or(a <> '' AND contains(lower(coalesce(paragraph_text, '')), a)) AS c, list_distinct(flatten(list(list_intersect(w, {_WORDS.format('paragraph_text')})))) AS h FROM w LEFT JOIN pa ON pa.item_id = w.id GROUP BY w.id),
+s AS (SELECT id, round(CASE WHEN c THEN 0.9 WHEN len(w) > 0 THEN len(h) / len(w)::DOUBLE ELSE 0.0 END, 6)::DOUBLE AS score FROM g)
+SELECT *, CASE WHEN score >= 0.6 THEN 'supported' WHEN score >= 0.1 THEN 'weak' ELSE 'unsupported' END AS verdict FROM s""",
     "support_calibration": f"""{_W}, {_SCORES}, j AS (SELECT keyword, coalesce(is_supporting, false) AS t FROM sc JOIN pa ON sc.id = pa.item_id AND sc.idx = pa.idx)
 SELECT x / 100.0::DOUBLE AS threshold, round(avg(((keyword >= x / 100.0::DOUBLE) = t)::INT), 6) AS accuracy FROM j, range(2, 22, 2) r(x) GROUP BY x""",
-    "question_complexity": f"""{_W}, x AS (SELECT id, coalesce(question, '') AS t, lower(coalesce(question, '')) AS l FROM qa), n AS (SELECT id, regexp_matches(l, ' (and|or|und|oder|et|ou|y|o) ')::INT + regexp_matches(l, '(older|more|than|älter|plus|mayor)')::INT
-  + (len(regexp_split_to_array(t, ' [A-Z]')) > 3)::INT + (len(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+')) > 9)::INT + regexp_matches(t, '[0-9]')::INT + regexp_matches(l, ' (which|who|whose|that) ')::INT AS indicators FROM x)
-SELECT *, indicators >= 2 AS complex FROM n""",
+    "question_complexity": f"""{_W}, x AS (SELECT id, coalesce(question, '') AS t, lower(coalesce(question, '')) AS l, len(list_filter(regexp_split_to_array(coalesce(question, ''), '\\s+'), lambda w: w <> '')) AS n FROM qa),
+n AS (SELECT id, (n > 10)::INT + contains(l, 'and')::INT + contains(l, 'or')::INT + (length(t) - length(replace(t, '?', '')) > 1)::INT + regexp_matches(l, 'compare|difference|relationship|between')::INT
+  + (regexp_matches(l, 'why|how|what|when|where') AND n > 8)::INT AS indicators FROM x) SELECT *, indicators >= 2 AS complex FROM n""",
     "unanswered_items": f"{_W} SELECT DISTINCT item_id FROM pa WHERE item_id NOT IN (SELECT id FROM qa WHERE NOT {_BLANK.format('predicted_answer')})",
     "ghost_support": f"""{_W}, n AS (SELECT id, unnest({_IDX}) AS idx FROM qa), g AS (SELECT DISTINCT id FROM n WHERE NOT EXISTS (SELECT 1 FROM pa WHERE pa.item_id = n.id AND pa.idx = n.idx))
 SELECT run_name, count(*) AS items, count(g.id) AS with_ghosts FROM qa LEFT JOIN g ON qa.id = g.id GROUP BY run_name""",

@@ -18,8 +18,11 @@ from noteflow.operators.references import latest
 # How many relations of a type are kept, and how much a type helps to reason.
 TYPE_CAPS = {"reference": 100, "entity_coexistence": 60, "context_relation": 40, "topic_relation": 30, "semantic_similarity": 50, "personal_relation": 80}
 OTHER_CAP = 25
-REASONING = {"reference": 0.9, "entity_coexistence": 0.7, "context_relation": 0.6, "topic_relation": 0.5, "semantic_similarity": 0.6, "personal_relation": 0.8}
-UNDIRECTED = ["entity_coexistence", "context_relation", "topic_relation", "semantic_similarity"]
+REASONING = {
+    "reference": 0.4, "entity_coexistence": 0.3, "context": 0.5, "topic": 0.4, "semantic_similarity": 0.6, "personal": 0.3, "causal": 1.0, "temporal": 0.8, "definition": 0.7,
+    "comparison": 0.6, "elaboration": 0.5, "contradiction": 0.9, "succession": 0.9, "acquisition": 0.95, "ownership": 0.8, "subsidiary": 0.7, "partnership": 0.6, "merger": 0.95,
+}
+UNDIRECTED = ["entity_coexistence", "semantic_similarity", "topic_relation", "personal_relation"]
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +74,9 @@ def relation_statistics(r: DataFrame) -> DataFrame:
 
 
 def reasoning_values(r: DataFrame) -> DataFrame:
-    """The stored reasoning value, else the one of the relation's type (0.5 for other types)."""
+    """The reasoning value of the relation's type, 0.5 for other types; a stored value is replaced."""
     by_type = F.coalesce(F.create_map(*[F.lit(x) for kv in REASONING.items() for x in kv])[F.col("relation_type")], F.lit(0.5))
-    return r.select("relation_id", F.coalesce("reasoning_value", by_type).alias("reasoning"))
+    return r.select("relation_id", by_type.alias("reasoning"))
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ SQL = {
   relation_type, max(weight) AS weight, count(*) AS n FROM (SELECT source_id, target_id, relation_type, weight, relation_type IN ({_UND}) AS u FROM rel) GROUP BY 1, 2, 3""",
     "relation_statistics": f"""{_W} SELECT relation_type, count(*) AS n, round(avg(weight), 6) AS mean_weight, round(stddev_pop(weight), 6) AS std_weight, min(weight) AS min_weight, max(weight) AS max_weight FROM rel GROUP BY relation_type""",
     "relation_top_by_type": f"""{_W} SELECT relation_type, relation_id, row_number() OVER (PARTITION BY relation_type ORDER BY weight DESC, relation_id)::INTEGER AS place FROM rel QUALIFY place <= {_CASE}""",
-    "relation_reasoning": f"""{_W} SELECT relation_id, coalesce(reasoning_value, {_VALUE})::DOUBLE AS reasoning FROM rel""",
+    "relation_reasoning": f"""{_W} SELECT relation_id, ({_VALUE})::DOUBLE AS reasoning FROM rel""",
     "node_degrees": f"""{_EDGES} SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, round(sum(weight), 6) AS total_weight FROM (SELECT src AS node, 1 AS o, 0 AS i, weight FROM e UNION ALL SELECT dst, 0, 1, weight FROM e) GROUP BY node""",
     "graph_audit": f"""{_W}, {SQL_NOTES}, ends AS (SELECT relation_id, source_id AS node FROM rel UNION ALL SELECT relation_id, target_id FROM rel),
 a AS (SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM rel) AS edges, (SELECT count(DISTINCT relation_id) FROM ends WHERE node NOT IN (SELECT note_id FROM notes)) AS dangling,
@@ -307,16 +310,21 @@ SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE (e.src = d.src AND e.dst
 h AS (SELECT node, 0 AS distance FROM seeds UNION ALL SELECT dst, 1 FROM seeds JOIN u ON node = src UNION ALL SELECT b.dst, 2 FROM seeds JOIN u a ON node = a.src JOIN u b ON a.dst = b.src)
 SELECT node, min(distance)::INTEGER AS distance FROM h GROUP BY node""",
     "strongest_neighbours": f"""{_EDGES} SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst)::INTEGER AS place FROM e QUALIFY place <= 8""",
-    "reasoning_paths": f"""{_EDGES}, {_SEEDS}, b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 4)
-SELECT node AS seed, node || '>' || dst AS path, 1 AS hops, round(weight / 2, 6) AS score FROM seeds JOIN b ON node = src
-UNION ALL SELECT node, node || '>' || x.dst || '>' || y.dst, 2, round(x.weight * y.weight / 3, 6) FROM seeds JOIN b x ON node = x.src JOIN b y ON x.dst = y.src WHERE y.dst <> node""",
+    "reasoning_paths": f"""{_EDGES}, {_SEEDS}, b AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS turn FROM e),
+p1 AS (SELECT node AS seed, [node, dst] AS path, [turn] AS turns, weight AS product, 1 AS hops FROM seeds JOIN b ON node = src), k1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY turns) AS place FROM p1 QUALIFY place <= 10),
+p2 AS (SELECT seed, list_append(path, dst) AS path, list_append(turns, turn) AS turns, product * weight AS product, 2 AS hops FROM k1 JOIN b ON path[-1] = src WHERE NOT list_contains(path, dst)),
+n1 AS (SELECT seed, count(*) AS n FROM k1 GROUP BY seed), k2 AS (SELECT p2.*, n + row_number() OVER (PARTITION BY seed ORDER BY turns) AS place FROM p2 JOIN n1 USING (seed) QUALIFY place <= 10),
+p3 AS (SELECT seed, list_append(path, dst) AS path, list_append(turns, turn) AS turns, product * weight AS product, 3 AS hops FROM k2 JOIN b ON path[-1] = src WHERE NOT list_contains(path, dst)),
+n2 AS (SELECT seed, count(*) AS n FROM (SELECT seed FROM k1 UNION ALL SELECT seed FROM k2) GROUP BY seed), k3 AS (SELECT p3.*, n + row_number() OVER (PARTITION BY seed ORDER BY turns) AS place FROM p3 JOIN n2 USING (seed) QUALIFY place <= 10)
+SELECT seed, array_to_string(path, '>') AS path, hops, round(product / (1 + hops), 6) AS score FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)""",
     "note_components": f"""{_EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c AS (SELECT src AS node, src AS component FROM u UNION SELECT u.dst, c.component FROM c JOIN u ON c.node = u.src)
 SELECT node, min(component) AS component FROM c GROUP BY node""",
     "fusion_linear": f"""{_W}, s AS (SELECT source_id AS query, target_id AS candidate, relation_type, max(weight) AS s FROM rel WHERE relation_type IN ('semantic_similarity', 'reference', 'entity_coexistence') GROUP BY ALL),
 n AS (SELECT *, max(s) OVER (PARTITION BY query, relation_type) AS top FROM s)
 SELECT query, candidate, round(sum(CASE WHEN top > 0 THEN s / top ELSE 0.0 END * CASE relation_type WHEN 'semantic_similarity' THEN 0.5 WHEN 'reference' THEN 0.3 ELSE 0.2 END), 6)::DOUBLE AS score FROM n GROUP BY query, candidate""",
     "fusion_rank": f"""{_W}, s AS (SELECT source_id AS query, target_id AS candidate, relation_type, max(weight) AS s FROM rel GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY query, relation_type ORDER BY s DESC, candidate) AS rank FROM s) SELECT query, candidate, round(sum(1 / (50 + rank)::DOUBLE), 8) AS score FROM n WHERE rank <= 20 GROUP BY query, candidate""",
+n AS (SELECT *, row_number() OVER (PARTITION BY query, relation_type ORDER BY s DESC, candidate) AS rank FROM s), f AS (SELECT query, candidate, round(sum(1 / (50 + rank)::DOUBLE), 8) AS score FROM n GROUP BY query, candidate)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) <= 80""",
     "evidence_merge": f"""{_W} SELECT target_id, count(*) AS hits, array_to_string(list_sort(list_distinct(list(relation_type))), ',') AS sources, arg_max(source_id, (weight, source_id)) AS best_source,
   round(0.6 * max(weight) + 0.3 * least(count(*) / 5.0::DOUBLE, 1.0) + 0.1 * least(count(DISTINCT relation_type) / 2.0::DOUBLE, 1.0), 6) AS score FROM rel GROUP BY target_id""",
     "zscore_blend": f"""{_W}, v AS (SELECT * FROM rel WHERE reasoning_value IS NOT NULL), m AS (SELECT relation_type, avg(weight) AS aw, stddev_pop(weight) AS sw, avg(reasoning_value) AS ar, stddev_pop(reasoning_value) AS sr FROM v GROUP BY relation_type)

@@ -276,7 +276,7 @@ SELECT note_id, array_to_string(CASE WHEN len(w) <= 20 THEN w ELSE list_concat(w
 SELECT count(*) AS entities, sum(c)::BIGINT AS postings, round(avg(c), 6) AS avg_notes FROM c""",
     "top_keywords": f"""{_W}, k AS (SELECT string_split(source_info.file_name, '_')[1] AS dataset, unnest(keywords) AS keyword FROM notes), c AS (SELECT dataset, keyword, count(*) AS n FROM k WHERE dataset IS NOT NULL GROUP BY dataset, keyword)
 SELECT dataset, keyword, n, round(n / sum(n) OVER (PARTITION BY dataset), 6)::DOUBLE AS share, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, keyword)::INTEGER AS rank FROM c QUALIFY rank <= 10""",
-    "notes_per_chunk": f"""{_W} SELECT note_id, row_number() OVER (PARTITION BY source_info.file_name, chunk_index ORDER BY coalesce(importance_score, -1.0) DESC, note_id)::INTEGER AS place FROM notes QUALIFY place <= 2""",
+    "notes_per_chunk": f"""{_W} SELECT note_id, row_number() OVER (PARTITION BY source_info.file_name, chunk_index ORDER BY coalesce(importance_score, -1.0) DESC, note_id)::INTEGER AS place FROM notes QUALIFY place <= 12""",
     "entity_cooccurrence": f"""{_W}, p AS (SELECT note_id, {_CLEAN_ENTS} AS e FROM notes), x AS (SELECT note_id, unnest(e) AS entity FROM p)
 SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n FROM x a JOIN x b ON a.note_id = b.note_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3""",
     "entity_coexistence": f"""{_W}, x AS (SELECT note_id, unnest({_CLEAN_ENTS}) AS entity FROM notes)

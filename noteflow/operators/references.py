@@ -16,9 +16,11 @@ _KEY = ["space", "scope", "ref_key"]
 
 
 def latest(df: DataFrame, key: list[str], order: str = "ingested_at") -> DataFrame:
-    """One row per key, the one delivered last (null delivery times first); rows with a null key part stay one group."""
+    """One row per key, the one delivered last (null delivery times first); a row with a null key part is a record of its
+    own."""
     rest = [c for c in df.columns if c not in key]
-    picked = df.groupBy(*key).agg(
+    unkeyed = F.when(F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)), F.monotonically_increasing_id())
+    picked = df.groupBy(*key, unkeyed.alias("__own")).agg(
         F.max_by(F.struct(*rest), F.coalesce(F.col(order).cast("string"), F.lit(""))).alias("__r")
     )
     return picked.select(*key, *[F.col("__r")[c].alias(c) for c in rest])

@@ -213,12 +213,12 @@ SQL = {
     "hop_filtered": f"""{_E}, d AS (SELECT a.src, b.dst, max(round(a.weight * b.weight * 0.5, 8)) AS weight FROM e a JOIN e b ON a.dst = b.src WHERE a.weight * b.weight * 0.5 > 0.1 AND a.src <> b.dst GROUP BY ALL),
 x AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM e WHERE (e.src = d.src AND e.dst = d.dst) OR (e.src = d.dst AND e.dst = d.src))),
 c AS (SELECT src AS query, dst AS candidate, 1 AS hop, weight AS score FROM e UNION ALL SELECT src, dst, 2, weight FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY query, hop ORDER BY score DESC, candidate) AS place FROM c)
-SELECT query, candidate, hop, round(score * pow(0.85::DOUBLE, hop - 1), 10) AS final FROM r WHERE (hop = 1 AND score >= 0.2) OR (hop = 2 AND (place <= 5 OR score >= 0.15))""",
+SELECT query, candidate, hop, round(score * pow(0.85::DOUBLE, hop - 1), 10) AS final FROM r WHERE (hop = 1 AND score >= 0.2) OR (hop = 2 AND (place <= 5 OR score >= 0.10))""",
     "boosted_passages": f"""WITH {_QA}, {_PA}, {_SCORES}, n AS (SELECT id, list_distinct(regexp_extract_all({_MASKED.format('question')}, '\\b[A-Z][a-z]+\\b')) AS n FROM qa),
 h AS (SELECT sc.id, sc.idx, keyword, best_sentence, len(n) AS k, len(list_filter(n, lambda x: contains(coalesce(paragraph_text, ''), x)))::INTEGER AS hits FROM sc JOIN n USING (id) JOIN pa ON pa.item_id = sc.id AND pa.idx = sc.idx)
 SELECT id, idx, hits, round((0.5::DOUBLE * keyword + 0.5::DOUBLE * best_sentence) * least(pow(1.2::DOUBLE, hits), 2.0::DOUBLE) * CASE WHEN k = 0 THEN 1.0::DOUBLE WHEN hits = 0 THEN 0.6::DOUBLE WHEN hits * 2 < k THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM h""",
     "fallback_union": f"""WITH {SQL_RELATIONS}, c AS (SELECT source_id AS query, target_id AS candidate, CASE relation_type WHEN 'reference' THEN 1 ELSE 2 END AS tier, max(weight) AS score FROM rel WHERE relation_type IN ('reference', 'semantic_similarity') GROUP BY ALL),
-b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query, candidate ORDER BY tier) = 1) SELECT query, candidate, tier, row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, candidate)::INTEGER AS place FROM b QUALIFY place <= 10""",
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query, candidate ORDER BY tier) = 1) SELECT query, candidate, tier, row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, candidate)::INTEGER AS place FROM b""",
     "evidence_quota": f"""WITH {SQL_RELATIONS}, o AS (SELECT source_id AS query, target_id AS candidate, relation_type, max(weight) AS score FROM rel GROUP BY ALL)
 SELECT query, candidate, relation_type, row_number() OVER (PARTITION BY query, relation_type ORDER BY score DESC, candidate)::INTEGER AS place FROM o QUALIFY place <= {_QUOTA}""",
     "bridge_entities": f"""{_E}, {SQL_NOTES}, t AS (SELECT src AS query, dst AS note_id FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 2),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import evaluation, extraction, graph, incremental, learned, lexical, normalization, notes, reasoning, references, retrieval, selection, vectors
+from noteflow.operators import evaluation, extraction, graph, hybrid, incremental, learned, lexical, normalization, notes, quality, reasoning, references, retrieval, selection, vectors
 
-MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, normalization, selection, reasoning, retrieval, learned]
+MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, normalization, selection, reasoning, retrieval, learned, hybrid, quality]
 
 
 def queries() -> dict:

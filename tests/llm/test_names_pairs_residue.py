@@ -36,6 +36,37 @@ def test_ambiguous_initials_need_an_entry(spark):
     assert got["R. Hustasubar"] == got["Rosalind Hustasubar"]
 
 
+def test_order_alone_is_no_difference(spark):
+    """Short surnames and heads that no list has."""
+    e = entities(spark, ["Robert Lee", "Lee, Robert", "Maria Li", "Li, Maria", "Zekokeistus Observatory", "Observatory of Zekokeistus", "Quell Point", "Point Quell", "Ada Vance"])
+    same = [("Robert Lee", "Lee, Robert"), ("Maria Li", "Li, Maria"), ("Zekokeistus Observatory", "Observatory of Zekokeistus"), ("Quell Point", "Point Quell")]
+    assert all(e[a] == e[b] for a, b in same) and len({e[a] for a, _ in same} | {e["Ada Vance"]}) == 5
+
+
+def test_other_people_stay_apart(spark):
+    """Further names must agree, and surnames that several people bear are not taken for misspellings of each other."""
+    e = entities(spark, ["Robert Smith Jones", "Robert Jones", "Robert Price Jones", "Jones, Robert Price"])
+    assert e["Robert Price Jones"] == e["Jones, Robert Price"] and len(set(e.values())) == 3
+    people = [f"{g} {s}" for s, gs in {"Anderson": ["Robert", "Mary", "John", "Sarah"], "Andersen": ["Robert", "Peter", "Anne"]}.items() for g in gs]
+    e = entities(spark, [*people, "Mary Andreson"])
+    assert e["Robert Anderson"] != e["Robert Andersen"] and e["Mary Andreson"] == e["Mary Anderson"]
+
+
+def test_given_names_and_heads_are_learned(spark):
+    surnames = ["Kestrapol", "Dunwiddel", "Marfolane", "Ostrevik"]
+    e = entities(spark, [f"Ozwilda {s}" for s in surnames] + ["Kestrapol Ozwilda", "Ozwlida Dunwiddel", "Observatory of Kestrap", "Observatory of Dunwid", "Observatory of Marfol", "Kestrap Observatroy"])
+    assert e["Ozwilda Kestrapol"] == e["Kestrapol Ozwilda"] and e["Ozwilda Dunwiddel"] == e["Ozwlida Dunwiddel"]
+    assert e["Observatory of Kestrap"] == e["Kestrap Observatroy"] and len(set(e.values())) == 7
+
+
+def test_whole_names_match_in_every_order(spark):
+    def frame(forms):
+        return spark.createDataFrame([(f,) for f in forms], "form string")
+
+    got = {tuple(r) for r in names.whole_matches(frame(["cedar green lodge", "bay tessaly"]), frame(["cedar lodgee green", "bay tesaly", "bay tessaly", "bay vessel", "cedar green"])).collect()}
+    assert got == {("cedar green lodge", "cedar lodgee green"), ("bay tessaly", "bay tesaly")}
+
+
 def test_no_names(spark):
     assert entities(spark, []) == {}
 

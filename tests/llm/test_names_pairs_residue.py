@@ -101,7 +101,41 @@ def test_label_model_finds_the_classes():
     model = pairs.LabelModel(patterns, counts.astype(float))
     p = np.array([model.posterior[tuple(v)] for v in votes.tolist()])
     assert ((p > 0.5) == y).mean() > 0.99
-    assert 0.3 <= pairs.best_cutoff(np.array([model.posterior[tuple(v)] for v in patterns.tolist()]), counts.astype(float)) <= 0.9
+    assert ((votes.sum(axis=1) > 0) == y).mean() < ((p > 0.5) == y).mean()
+    assert 0.1 <= pairs.best_cutoff(p, y.astype(float), np.ones(len(y))) <= 0.9
+
+
+def test_label_models_beat_majority_votes_on_planted_pairs(spark):
+    """On planted pairs that neither fit nor cutoff saw, the model is at least as good for every defect and better for most;
+    defects count as often as the model says they are among all pairs."""
+    q = spark.read.parquet("/root/testdata/sf0.1/qa_results.parquet").select("id", "question", "predicted_answer").dropDuplicates(["id"]).orderBy("id").collect()
+    lm = pairs.fit_language(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    votes = [(r.question, r.predicted_answer, pairs._votes(r.question, r.predicted_answer, lm)) for r in q]
+    sound = [(str(i), a, b) for i, (a, b, v) in enumerate(votes) if a and b and all(sum(x == 1 for x in v[d][:n]) < m for d, (n, m) in pairs.SUSPECT.items())]
+    planted = [(kind, pairs._votes(a, b, lm)) for _, a, b, kind in pairs.plant(sound, lm)]
+    f1 = lambda chosen, y, w: 2 * w[chosen & y].sum() / max(w[chosen].sum() + w[y].sum(), 1e-9)
+    better = 0
+    for d in pairs.DEFECTS:
+        patterns, counts = np.unique(np.array([v[d] for *_, v in votes]), axis=0, return_counts=True)
+        mine = [(tuple(v[d]), int(kind == d)) for kind, v in planted if kind in (d, None)]
+        model = pairs.LabelModel(patterns, counts.astype(float), [(v, y, 1.0) for v, y in mine[::3]])
+        (seen, known), (held, y) = ((np.array([v for v, _ in part]), np.array([bool(label) for _, label in part])) for part in (mine[1::3], mine[2::3]))
+        weigh = lambda y: np.where(y, model.prior / (1 - model.prior) * (~y).sum() / y.sum(), 1.0)  # noqa: B023, E731
+        cutoff = pairs.best_cutoff(model.posteriors(seen), known.astype(float), weigh(known))
+        fitted, majority = f1(model.posteriors(held) >= cutoff, y, weigh(y)), f1(held.sum(axis=1) > 0, y, weigh(y))
+        assert fitted >= majority - 0.02, (d, fitted, majority)  # a pair or two of some fifty
+        better += fitted > majority + 0.01
+    assert better >= 3
+
+
+def test_rows_and_labels_are_kept(spark):
+    """Null and repeated keys stay rows of their own, and a pair may have several labels."""
+    q = spark.read.parquet("/root/testdata/sf0.1/qa_results.parquet").select("id", "question", "predicted_answer")
+    asked = "Why did the founder leave the town of Fennick?"
+    mine = [(None, asked, "I'm sorry, but I cannot answer this question."), (None, asked, ""), ("k", asked, None), ("k", asked, None), ("m", asked, "Der Rat lehnte die Verlängerung ab, daher konnte sie nicht bleiben und ging mit ihren Kindern in die")]
+    out = pairs.label_pairs(q.where("id IS NOT NULL").union(spark.createDataFrame(mine, q.schema)), spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    got = [(r.id, sorted(x.defect for x in r.labels)) for r in out.where("id IS NULL OR id IN ('k', 'm')").collect()]
+    assert sorted(got, key=str) == sorted([(None, ["refusal"]), (None, ["empty"]), ("k", ["empty"]), ("k", ["empty"]), ("m", ["other_language", "truncated"])], key=str)
 
 
 @pytest.fixture(scope="module")

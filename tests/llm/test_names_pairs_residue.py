@@ -106,7 +106,7 @@ def test_label_model_finds_the_classes():
 
 
 def test_label_models_beat_majority_votes_on_planted_pairs(spark):
-    """On planted pairs that neither fit nor cutoff saw, the model is at least as good for every defect and better for most;
+    """On planted pairs that neither fit nor cutoff saw, the model is as good as the majority for every defect, and on average much better;
     defects count as often as the model says they are among all pairs."""
     q = spark.read.parquet("/root/testdata/sf0.1/qa_results.parquet").select("id", "question", "predicted_answer").dropDuplicates(["id"]).orderBy("id").collect()
     lm = pairs.fit_language(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
@@ -114,7 +114,7 @@ def test_label_models_beat_majority_votes_on_planted_pairs(spark):
     sound = [(str(i), a, b) for i, (a, b, v) in enumerate(votes) if a and b and all(sum(x == 1 for x in v[d][:n]) < m for d, (n, m) in pairs.SUSPECT.items())]
     planted = [(kind, pairs._votes(a, b, lm)) for _, a, b, kind in pairs.plant(sound, lm)]
     f1 = lambda chosen, y, w: 2 * w[chosen & y].sum() / max(w[chosen].sum() + w[y].sum(), 1e-9)
-    better = 0
+    gain = 0.0
     for d in pairs.DEFECTS:
         patterns, counts = np.unique(np.array([v[d] for *_, v in votes]), axis=0, return_counts=True)
         mine = [(tuple(v[d]), int(kind == d)) for kind, v in planted if kind in (d, None)]
@@ -124,8 +124,8 @@ def test_label_models_beat_majority_votes_on_planted_pairs(spark):
         cutoff = pairs.best_cutoff(model.posteriors(seen), known.astype(float), weigh(known))
         fitted, majority = f1(model.posteriors(held) >= cutoff, y, weigh(y)), f1(held.sum(axis=1) > 0, y, weigh(y))
         assert fitted >= majority - 0.02, (d, fitted, majority)  # a pair or two of some fifty
-        better += fitted > majority + 0.01
-    assert better >= 3
+        gain += (fitted - majority) / len(pairs.DEFECTS)
+    assert gain > 0.1
 
 
 def test_rows_and_labels_are_kept(spark):

@@ -17,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noteflow.functions.runtime import lookup_join, parallelism, stage, table
+from noteflow.functions.runtime import drop_stage, lookup_join, parallelism, stage, table
 
 DIMENSION = 128
 K = 10
 #: Neighbours kept per vertex while the graph is built, and reverse neighbours that take part in a round.
 GRAPH_K, REVERSE_K = 16, 16
 TREES, LEAF, FIT_ROWS = 3, 300, 20_000
-ROUNDS, SETTLED = 6, 0.002
+#: The rounds end when fewer than this share of all edges is new.
+SETTLED = 0.002
 #: A search starts from at most ENTRIES vertices (a sample) and keeps BEAM candidates per query.
-ENTRIES, BEAM, STEPS = 2000, 24, 12
+ENTRIES, BEAM = 2000, 24
 
 
 def usable(embedding: str, dimension: int = DIMENSION) -> Column:
@@ -127,8 +128,8 @@ def vertices(vectors: DataFrame, key: str = "vec_id", embedding: str = "embeddin
 def blocks(points: DataFrame, rows: int, dimension: int = DIMENSION, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vid, vec, block (array, one block per tree). Cells larger than 2 * leaf are cut along their direction, so no
     block is larger, however the data lie."""
-    share = min(1.0, 1.2 * FIT_ROWS / max(rows, 1))
-    sample = [r[0] for r in points.select("vec").sample(share, 11).limit(FIT_ROWS).collect()] if rows else []
+    # chosen by hash from the whole table, about FIT_ROWS rows
+    sample = [r[0] for r in points.where(F.pmod(F.xxhash64("vid"), F.lit(-(-rows // FIT_ROWS))) == 0).select("vec").collect()] if rows else []
     if not sample:
         return points.select("vid", "vec", F.array_repeat(F.lit(0).cast("bigint"), trees).alias("block"))
     x = _matrix(pa.chunked_array([pa.array(sample, pa.binary())]), dimension)
@@ -203,8 +204,9 @@ def _merge(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
 
 
-def _round(points: DataFrame, edges: DataFrame, dimension: int, k: int, reverse: int) -> DataFrame:
-    """Neighbours of neighbours: candidate edges that are better than what their vertex has."""
+def _round(points: DataFrame, edges: DataFrame, dimension: int, k: int, reverse: int, spent: list[DataFrame]) -> DataFrame:
+    """Neighbours of neighbours: candidate edges that are better than what their vertex has. Staged tables that only this
+    round reads are added to `spent`."""
     back = edges.select(F.col("w").alias("v"), F.col("wb").alias("vb"), F.col("v").alias("w"), "sim", "new")
     pick = Window.partitionBy("v").orderBy(F.desc("new"), F.desc("sim"), "w")
     back = back.withColumn("n", F.row_number().over(pick)).where(F.col("n") <= reverse)
@@ -212,6 +214,7 @@ def _round(points: DataFrame, edges: DataFrame, dimension: int, k: int, reverse:
     around = around.groupBy("v", "vb", "w").agg(F.max("new").alias("new"))
     active = around.where("new").select("v").distinct()
     around = stage(around.join(active, "v", "left_semi").select("vb", "v", "w", "new"), "around")
+    spent.append(around)
     worst = edges.groupBy("v").agg(F.when(F.count("w") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
     needed = (
         around.select(F.col("vb").alias("nb"), F.col("w").alias("vid")).distinct()
@@ -260,14 +263,16 @@ def _round(points: DataFrame, edges: DataFrame, dimension: int, k: int, reverse:
 
 
 def neighbour_graph(
-    points: DataFrame, rows: int, dimension: int = DIMENSION, k: int = GRAPH_K, rounds: int = ROUNDS
+    points: DataFrame, rows: int, dimension: int = DIMENSION, k: int = GRAPH_K
 ) -> DataFrame:
     """v, w, sim: the k nearest vertices of each vertex, nearly always. points: staged vid, vec."""
     placed = stage(blocks(points, rows, dimension), "placed")
     edges = stage(_merge(_first_edges(placed, dimension, k).withColumn("new", F.lit(True)), k), "edges")
-    for _ in range(rounds):
-        met = _round(placed, edges, dimension, k, REVERSE_K).withColumn("new", F.lit(True))
+    while True:  # similarities only grow, so this ends
+        spent = [edges]
+        met = _round(placed, edges, dimension, k, REVERSE_K, spent).withColumn("new", F.lit(True))
         edges = stage(_merge(edges.withColumn("new", F.lit(False)).unionByName(met), k), "edges")
+        drop_stage(*spent)
         if edges.where("new").count() <= SETTLED * rows * k:
             break
     return edges.select("v", "w", "sim")
@@ -337,7 +342,7 @@ def search_graph(points: DataFrame, graph: DataFrame, queries: DataFrame, dimens
     best = stage(queries.mapInArrow(enter, "q bigint, vid bigint, sim double").withColumn("looked", F.lit(False)), "beam")
     seen = best.select("q", "vid")
     n = 2 * parallelism(points.sparkSession)
-    for _ in range(STEPS):
+    while True:  # until all of the best have been looked at
         ahead = best.where(~F.col("looked")).select("q", F.col("vid").alias("v"))
         new = ahead.join(edges, "v").select("q", F.col("w").alias("vid")).distinct().join(seen, ["q", "vid"], "left_anti")
         near = stage(new.join(points.select("vid", "vec"), "vid").select(F.col("q").alias("nq"), "vid", "vec"), "candidates")

@@ -26,7 +26,8 @@ PREDICATES = {
 }
 PERSON_HINTS = ["dr", "prof", "mr", "mrs", "ms", "sir"]
 NO_PERSONS = ["university", "society", "company", "museum", "bank", "garden", "institute", "association", "airport", "school", "department", "trust", "press", "foundation", "survey", "college", "sons"]
-PRONOUNS = ["he", "she", "it", "they", "him", "her", "them", "his", "its", "their"]
+DANGLING = r"\b(?:he|she|it|they|this|that)\b"
+MADE_UP = r"(?i)\b(?:fake|fictional|made-up|invented)\b|\b[A-Z][a-z]*X{2,}\b|\b[A-Z][a-z]*[0-9]{3,}\b"
 
 
 def masked(c: Column) -> Column:
@@ -69,24 +70,17 @@ def entity_kind(c: Column) -> Column:
     return F.when(org, "organisation").when(title | shaped, "person").otherwise("other")
 
 
-def linguistic_quality(c: Column) -> Column:
-    """0.5, plus 0.2 for an end mark, 0.1 for inner punctuation, 0.1 for a capital at the start and 0.1 times the share
-    of different words."""
-    t, w = F.coalesce(c, F.lit("")), tx.tokens(c)
-    kinds = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
-    return F.round(0.5 + 0.2 * t.rlike(r"[.!?。！？]$").cast("int") + 0.1 * t.rlike(r"[,;:，；：]").cast("int") + 0.1 * t.rlike(r"^[A-Z]").cast("int") + 0.1 * kinds, 6)
-
-
 def note_issues(df: DataFrame) -> DataFrame:
-    """note_id, issues: too_short (under 20 characters), no_end (no end mark), many_pronouns (over a tenth of the words),
-    ellipsis (ends in dots), fabricated (an entity that neither content nor chunk holds)."""
-    t, w = F.coalesce("content", F.lit("")), tx.tokens(F.col("content"))
-    pronouns = F.size(F.filter(w, lambda x: x.isin(PRONOUNS)))
-    both = F.lower(F.concat(t, F.lit("\n"), F.coalesce("original_text", F.lit(""))))
-    strange = F.exists(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~tx.blank(e)), lambda e: ~F.contains(both, F.lower(e)))
+    """note_id, issues: content_too_short (under 20 characters), no_entities_identified, incomplete_content (dots three times),
+    incomplete_sentence (no end mark), not_in_content (an entity the content lacks), likely_fabricated (a made-up form of
+    name), trailing_dots, excessive_pronouns (over a tenth of the words)."""
+    t, w = F.coalesce("content", F.lit("")), F.filter(F.split(F.coalesce("content", F.lit("")), r"\s+"), lambda x: x != "")
+    ents = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~tx.blank(e))
     flags = F.array(
-        F.when(F.char_length(t) < 20, "too_short"), F.when(~t.rlike(r"[.!?。！？]$"), "no_end"), F.when(pronouns * 10 > F.size(w), "many_pronouns"),
-        F.when(t.rlike(r"(\.\.\.|…)$"), "ellipsis"), F.when(strange, "fabricated"),
+        F.when(F.char_length(F.trim(t)) < 20, "content_too_short"), F.when(F.size(ents) == 0, "no_entities_identified"), F.when(F.size(F.split(t, r"\.\.\.")) > 3, "incomplete_content"),
+        F.when(~F.trim(t).rlike(r"[.!?]$"), "incomplete_sentence"), F.when(F.exists(ents, lambda e: ~F.contains(F.lower(t), F.lower(e))), "not_in_content"),
+        F.when(F.exists(ents, lambda e: masked(e).rlike(MADE_UP)), "likely_fabricated"), F.when(t.endswith("..."), "trailing_dots"),
+        F.when(F.size(F.regexp_extract_all(F.lower(masked(F.col("content"))), F.lit(DANGLING), F.lit(0))) > 0.1 * F.size(w), "excessive_pronouns"),
     )
     return df.select("note_id", F.array_join(F.array_compact(flags), ",").alias("issues"))
 
@@ -149,7 +143,6 @@ QUERIES = {
     "note_predicates": _n(lambda n: n.select("note_id", F.array_join(predicates(F.col("content")), ",").alias("predicates"))),
     "note_triples": _n(lambda n: triples(n, "note_id", "content")),
     "entity_kinds": _n(lambda n: n.select(F.explode("entities").alias("e")).where(~tx.blank(F.col("e"))).groupBy(F.col("e").alias("entity"), entity_kind(F.col("e")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))),
-    "note_linguistics": _n(lambda n: n.select("note_id", linguistic_quality(F.col("content")).alias("quality"))),
     "note_issues": _n(note_issues),
     "document_context_breaks": lambda s, d: context_breaks(_docs(s, d), "doc_id", "text"),
     "document_shortened": lambda s, d: _docs(s, d).select("doc_id", F.char_length(shorten(F.col("text"))).alias("length"), F.md5(shorten(F.col("text"))).alias("digest")),
@@ -185,12 +178,11 @@ SELECT note_id, trim(a) AS subject, ({_LEX})[p] AS predicate, trim(o) AS object
     "entity_kinds": f"""{_W}, e AS (SELECT unnest(entities) AS e FROM notes), c AS (SELECT e AS entity, CASE WHEN list_has_any({_TOK.format('e')}, {_LIST(NO_PERSONS)}) THEN 'organisation'
   WHEN list_has_any({_TOK.format('e')}[1:1], {_LIST(PERSON_HINTS)}) OR regexp_matches({_MASKED.format('e')}, '^[A-Z_][\\w''\\-]+( [A-Z]\\.?)?( [A-Z_][\\w''\\-]+){{1,2}}$') THEN 'person' ELSE 'other' END AS kind FROM e WHERE NOT {_BLANK.format('e')})
 SELECT entity, kind, count(*) AS n FROM c GROUP BY ALL""",
-    "note_linguistics": f"""{_W}, t AS (SELECT note_id, coalesce(content, '') AS t, {_TOK.format('content')} AS w FROM notes)
-SELECT note_id, round(0.5::DOUBLE + 0.2::DOUBLE * regexp_matches(t, '[.!?。！？]$')::INT + 0.1::DOUBLE * regexp_matches(t, '[,;:，；：]')::INT + 0.1::DOUBLE * regexp_matches(t, '^[A-Z]')::INT
-  + 0.1::DOUBLE * CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w)::DOUBLE ELSE 0.0 END, 6) AS quality FROM t""",
-    "note_issues": f"""{_W}, t AS (SELECT note_id, coalesce(content, '') AS t, {_TOK.format('content')} AS w, lower(coalesce(content, '') || chr(10) || coalesce(original_text, '')) AS b, list_filter(coalesce(entities, []::VARCHAR[]), lambda e: NOT {_BLANK.format('e')}) AS e FROM notes)
-SELECT note_id, concat_ws(',', CASE WHEN length(t) < 20 THEN 'too_short' END, CASE WHEN NOT regexp_matches(t, '[.!?。！？]$') THEN 'no_end' END, CASE WHEN len(list_filter(w, lambda x: list_contains({_LIST(PRONOUNS)}, x))) * 10 > len(w) THEN 'many_pronouns' END,
-  CASE WHEN regexp_matches(t, '(\\.\\.\\.|…)$') THEN 'ellipsis' END, CASE WHEN len(list_filter(e, lambda x: NOT contains(b, lower(x)))) > 0 THEN 'fabricated' END) AS issues FROM t""",
+    "note_issues": f"""{_W}, t AS (SELECT note_id, coalesce(content, '') AS t, {_MASKED.format('content')} AS m, list_filter(coalesce(entities, []::VARCHAR[]), lambda e: NOT {_BLANK.format('e')}) AS e FROM notes)
+SELECT note_id, concat_ws(',', CASE WHEN length(trim(t)) < 20 THEN 'content_too_short' END, CASE WHEN len(e) = 0 THEN 'no_entities_identified' END, CASE WHEN len(string_split(t, '...')) > 3 THEN 'incomplete_content' END,
+  CASE WHEN NOT regexp_matches(trim(t), '[.!?]$') THEN 'incomplete_sentence' END, CASE WHEN len(list_filter(e, lambda x: NOT contains(lower(t), lower(x)))) > 0 THEN 'not_in_content' END,
+  CASE WHEN len(list_filter(e, lambda x: regexp_matches({_MASKED.format('x')}, '{MADE_UP}'))) > 0 THEN 'likely_fabricated' END, CASE WHEN ends_with(t, '...') THEN 'trailing_dots' END,
+  CASE WHEN len(regexp_extract_all(lower(m), '{DANGLING}')) > 0.1 * len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) THEN 'excessive_pronouns' END) AS issues FROM t""",
     "document_context_breaks": f"""WITH s AS (SELECT doc_id, {_SENT.format('text')} AS s FROM documents), n AS (SELECT doc_id, list_transform(s, lambda x: list_distinct(regexp_extract_all({_MASKED.format('x')}, '\\b[A-Z][a-z]+\\b'))) AS n, list_transform(s, lambda x: len({_TOK.format('x')}) > 5) AS l FROM s),
 i AS (SELECT doc_id, n, l, unnest(range(1, len(n))) AS i FROM n WHERE len(n) > 1) SELECT doc_id, i::INTEGER AS sentence_no FROM i WHERE l[i] AND l[i + 1] AND NOT list_has_any(n[i], n[i + 1])""",
     "document_shortened": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), 1000) AS c FROM documents), p AS (SELECT *, strpos(reverse(c), '.') AS q FROM t),

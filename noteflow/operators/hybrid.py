@@ -132,14 +132,15 @@ def noise_filtered(c: DataFrame, keep: int = 5, tail: float = 0.10) -> DataFrame
     return c.where(F.when(F.col("hop_no") == 2, (F.col("n") <= keep) | ((F.col("final") >= tail) & has_term())).otherwise(passes_noise_rules())).drop("n")
 
 
-def multihop_safety(c: DataFrame, keep: int = 6, tail: float = 0.10) -> DataFrame:
+def multihop_safety(c: DataFrame, keep: int = 6, tail: float = 0.10, first_doc: str | None = None) -> DataFrame:
     """Of each hop the best `keep`, the rest from `tail` on if an asked entity occurs (or none is asked); and if no candidate
-    of the first hop's document (the title of its best candidate) is left, the best of that document."""
+    of the first hop's document is left, the best of that document. Documents are told by their titles; the first hop's is
+    `first_doc`, or that of its best candidate."""
     w = Window.partitionBy("query", "hop_no").orderBy(F.desc("final"), "candidate")
     occurs = (F.size("path") == 0) | F.exists("path", lambda e: F.contains(F.col("blob"), e))
     one = Window.partitionBy("query")
     c = c.withColumn("n", F.row_number().over(w)).withColumn("kept", (F.col("n") <= keep) | ((F.col("final") >= tail) & occurs))
-    c = c.withColumn("doc", F.max(F.when((F.col("hop_no") == 1) & (F.col("n") == 1), F.col("title"))).over(one))
+    c = c.withColumn("doc", F.lit(first_doc) if first_doc is not None else F.max(F.when((F.col("hop_no") == 1) & (F.col("n") == 1), F.col("title"))).over(one))
     own = Window.partitionBy("query", "title").orderBy(F.desc("final"), "candidate")
     saved = (F.col("title") == F.col("doc")) & (F.row_number().over(own) == 1) & ~F.max(F.col("kept")).over(Window.partitionBy("query", "title"))
     return c.withColumn("saved", F.coalesce(saved, F.lit(False))).where("kept OR saved").drop("n", "doc")

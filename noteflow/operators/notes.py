@@ -55,57 +55,6 @@ def embedding_text(df: DataFrame, limit: int = 512):
     return df.withColumn("embedding_text", F.when(F.char_length(F.trim(parts)) < 3, F.lit("Empty note")).otherwise(F.right(parts, F.lit(limit))))
 
 
-def quality_filter(df: DataFrame, low: int = 20, high: int = 400, sentences: int = 3, importance: float = 0.2) -> DataFrame:
-    """Notes of 20 to 400 characters, 1 to 3 sentences (unknown counts as 1), enough importance (unknown counts as 0.5),
-    flagged OK and not DUPLICATE, LOW_INFO or TOO_LONG, with at least one entity that is not blank."""
-    flags = F.coalesce("quality_flags", F.array().cast("array<string>"))
-    bad = F.array(*[F.lit(x) for x in ("DUPLICATE", "LOW_INFO", "TOO_LONG")])
-    return df.where(
-        F.char_length("content").between(low, high)
-        & F.coalesce("sent_count", F.lit(1)).between(1, sentences)
-        & (F.coalesce("importance_score", F.lit(0.5)) >= importance)
-        & F.array_contains(flags, "OK") & ~F.arrays_overlap(flags, bad)
-        & F.exists(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~tx.blank(e))
-    )
-
-
-def noise_scores(df: DataFrame, text: str = "content") -> DataFrame:
-    """obvious_noise (blank, punctuation only, digits only, under 20 characters or under 3 different ones), usefulness
-    0.4 importance + 0.3 length/200 + 0.3 share of entities that the text holds, and is_noise: obvious, or under 0.4."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    letters = F.array_distinct(F.split(F.regexp_replace(t, r"\s", ""), ""))
-    kinds = F.size(F.filter(letters, lambda x: x != ""))
-    obvious = tx.blank(t) | t.rlike(r"^[\p{P}\s]+$") | t.rlike(r"^[0-9\s]+$") | (F.char_length(t) < 20) | (kinds < 3)
-    ents = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: ~tx.blank(e))
-    held = F.size(F.filter(ents, lambda e: F.contains(t, e)))
-    share = F.when(F.size(ents) > 0, held / F.size(ents)).otherwise(F.lit(0.0))
-    score = F.least(F.lit(1.0), F.lit(0.4) * F.coalesce("importance_score", F.lit(0.0)) + F.lit(0.3) * F.least(F.char_length(t) / 200, F.lit(1.0)) + F.lit(0.3) * share)
-    return df.withColumn("obvious_noise", obvious).withColumn("usefulness", F.round(score, 6)).withColumn(
-        "is_noise", F.when(F.col("obvious_noise"), True).when(F.col("usefulness") > 0.65, False).otherwise(F.col("usefulness") < 0.4)
-    )
-
-
-# Words that no complete statement begins with.
-BAD_STARTS = ["and", "but", "or", "so", "because", "which", "that", "however", "therefore", "then"]
-
-
-def completeness(df: DataFrame) -> DataFrame:
-    """note_id, complete, completeness, density. complete: an end mark, four words or eight Han characters, and no first
-    word that needs a sentence before it. completeness: half the share of sentences with an end mark and ten characters,
-    half the length over 200. density: share of words of three letters and more that are no stop words."""
-    t, w = F.coalesce("content", F.lit("")), tx.tokens(F.col("content"))
-    han = F.char_length(F.regexp_replace(t, r"[^\p{IsHan}]", ""))
-    complete = t.rlike(r"[.!?。！？]$") & ((F.size(w) >= 4) | (han >= 8)) & ~F.arrays_overlap(F.slice(w, 1, 1), F.array(*[F.lit(x) for x in BAD_STARTS]))
-    s = tx.sentences(F.col("content"))
-    good = F.size(F.filter(s, lambda x: x.rlike(r"[.!?。！？]$") & (F.char_length(x) >= 10)))
-    share = F.when(F.size(s) > 0, good / F.size(s)).otherwise(F.lit(0.0))
-    dense = F.size(F.filter(w, lambda x: (F.char_length(x) > 2) & ~x.isin(tx.STOP_WORDS)))
-    return df.select(
-        "note_id", complete.alias("complete"), F.round((share + F.least(F.char_length(t) / 200, F.lit(1.0))) / 2, 6).alias("completeness"),
-        F.round(F.when(F.size(w) > 0, dense / F.size(w)).otherwise(F.lit(0.0)), 6).alias("density"),
-    )
-
-
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, class_id (md5 of the text), first_key, copies: members of groups of equal texts. Groups are counted first
     and joined back with hot texts salted, so one text may fill a third of the table."""
@@ -207,9 +156,6 @@ QUERIES = {
     "document_chunks": lambda s, d: chunk_rows(table(s, d, "documents"), "doc_id", "text"),
     "valid_passages": lambda s, d: valid_chunks(latest(table(s, d, "paragraphs"), ["item_id", "idx"]), "paragraph_text").groupBy("is_supporting").agg(F.count(F.lit(1)).alias("n")),
     "note_embedding_text": _q(lambda n: embedding_text(n).select("note_id", "embedding_text")),
-    "note_quality_filter": _q(lambda n: quality_filter(n).select("note_id")),
-    "note_noise": _q(lambda n: noise_scores(n).select("note_id", "obvious_noise", "usefulness", "is_noise")),
-    "note_completeness": _q(completeness),
     "document_exact_duplicates": lambda s, d: exact_duplicates(table(s, d, "documents"), "doc_id", "text"),
     "note_signature": _q(lambda n: n.select("note_id", signature(F.coalesce("content", F.lit(""))).alias("signature"))),
     "entity_index": _q(lambda n: entity_postings(n).groupBy("entity").agg(F.count(F.lit(1)).alias("note_count"), F.min("note_id").alias("first_note"))),
@@ -256,17 +202,6 @@ WHERE length(trim(paragraph_text)) >= 10 AND length(regexp_replace(paragraph_tex
     "note_embedding_text": f"""{_W}, j AS (SELECT note_id, concat_ws(' | ', CASE WHEN NOT {_BLANK.format('title')} THEN title END, CASE WHEN NOT {_BLANK.format('content')} THEN content END,
   CASE WHEN len({_ENTS}) > 0 THEN 'ENTITIES: ' || array_to_string({_ENTS}, ', ') END) AS t FROM notes)
 SELECT note_id, CASE WHEN length(trim(t)) < 3 THEN 'Empty note' ELSE right(t, 512) END AS embedding_text FROM j""",
-    "note_quality_filter": f"""{_W} SELECT note_id FROM notes WHERE length(content) BETWEEN 20 AND 400 AND coalesce(sent_count, 1) BETWEEN 1 AND 3 AND coalesce(importance_score, 0.5) >= 0.2
-  AND list_contains(coalesce(quality_flags, []::VARCHAR[]), 'OK') AND NOT list_has_any(coalesce(quality_flags, []::VARCHAR[]), ['DUPLICATE', 'LOW_INFO', 'TOO_LONG']) AND len({_ENTS}) > 0""",
-    "note_noise": f"""{_W}, b AS (SELECT note_id, coalesce(content, '') AS t, {_ENTS} AS e, coalesce(importance_score, 0.0) AS i FROM notes),
-s AS (SELECT note_id, ({_BLANK.format('t')} OR regexp_full_match(t, '[\\p{{P}}\\s]+') OR regexp_full_match(t, '[0-9\\s]+') OR length(t) < 20
-  OR len(list_filter(list_distinct(string_split(regexp_replace(t, '\\s', '', 'g'), '')), lambda x: x <> '')) < 3) AS obvious_noise,
-  round(least(1.0, 0.4 * i + 0.3 * least(length(t) / 200.0::DOUBLE, 1.0) + 0.3 * CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda x: contains(t, x))) / len(e)::DOUBLE ELSE 0.0 END), 6) AS usefulness FROM b)
-SELECT *, CASE WHEN obvious_noise THEN true WHEN usefulness > 0.65 THEN false ELSE usefulness < 0.4 END AS is_noise FROM s""",
-    "note_completeness": f"""{_W}, b AS (SELECT note_id, coalesce(content, '') AS t, regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}_]+') AS w, {_SENT.format('content')} AS s FROM notes)
-SELECT note_id, regexp_matches(t, '[.!?。！？]$') AND (len(w) >= 4 OR length(regexp_replace(t, '[^\\p{{Han}}]', '', 'g')) >= 8) AND NOT list_has_any(w[1:1], [{', '.join(f"'{x}'" for x in BAD_STARTS)}]) AS complete,
-  round((CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '[.!?。！？]$') AND length(x) >= 10)) / len(s)::DOUBLE ELSE 0.0 END + least(length(t) / 200.0::DOUBLE, 1.0)) / 2, 6) AS completeness,
-  round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) > 2 AND NOT list_contains([{', '.join(f"'{x}'" for x in tx.STOP_WORDS)}], x))) / len(w)::DOUBLE ELSE 0.0 END, 6) AS density FROM b""",
     "document_exact_duplicates": """SELECT doc_id, class_id, first_key, copies FROM (SELECT doc_id, md5(text) AS class_id, min(doc_id) OVER w AS first_key, count(*) OVER w AS copies
 FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY md5(text))) WHERE copies > 1""",
     "note_signature": f"""{_W}, w AS (SELECT note_id, list_filter(string_split({_NORM.format("coalesce(content, '')")}, ' '), lambda x: x <> '') AS w FROM notes)

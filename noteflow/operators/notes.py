@@ -99,26 +99,27 @@ def entity_pair_counts(df: DataFrame, least: int = 3) -> DataFrame:
 
 
 def shared_entity_pairs(df: DataFrame) -> DataFrame:
-    """note_a, note_b, shared, weight of notes that share two entities or more. The join key is a pair of entities, not
-    one entity: an entity that is everywhere makes no pairs by itself."""
+    """note_a, note_b, shared, jaccard, weight of notes that share two entities or more. The join key is a pair of entities,
+    not one entity: an entity that is everywhere makes no pairs by itself."""
     own = F.array_sort(F.array_distinct(F.filter(F.transform("entities", lambda e: tx.clean(e)), lambda e: e.isNotNull() & (e != ""))))
     rows = df.select("note_id", own.alias("e")).where(F.size("e") >= 2)
-    keyed = rows.select("note_id", "e", F.explode("e").alias("x")).select("note_id", "x", F.explode(F.filter("e", lambda y: y > F.col("x"))).alias("y"))
+    keyed = rows.select("note_id", "e", F.size("e").alias("n"), F.explode("e").alias("x")).select("note_id", "n", "x", F.explode(F.filter("e", lambda y: y > F.col("x"))).alias("y"))
     keyed = stage(keyed, "entity-pairs")
-    a, b = keyed.withColumnRenamed("note_id", "note_a"), keyed.withColumnRenamed("note_id", "note_b")
-    both = a.join(b, ["x", "y"]).where("note_a < note_b").groupBy("note_a", "note_b").agg(F.count(F.lit(1)).alias("pairs"))
+    a, b = (keyed.select(F.col("note_id").alias(f"note_{k}"), F.col("n").alias(f"n_{k}"), "x", "y") for k in "ab")
+    both = a.join(b, ["x", "y"]).where("note_a < note_b").groupBy("note_a", "note_b").agg(F.count(F.lit(1)).alias("pairs"), (F.first("n_a") + F.first("n_b")).alias("sizes"))
     # s shared entities make s (s - 1) / 2 shared pairs
     shared = ((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("int")
-    return both.select("note_a", "note_b", shared.alias("shared"), F.round(0.8 * F.least(shared / 5, F.lit(1.0)), 6).alias("weight"))
+    return both.select("note_a", "note_b", shared.alias("shared"), F.round(shared / (F.col("sizes") - shared), 6).alias("jaccard"), F.round(0.8 * F.least(shared / 5, F.lit(1.0)), 6).alias("weight"))
 
 
 def context_pairs(df: DataFrame, reach: int = 3) -> DataFrame:
-    """note_a, note_b, distance, weight 0.6 / distance of notes at most `reach` places apart in their file."""
+    """note_a, note_b, distance, weight 0.6 / distance of notes at most `reach` places apart in their file, in both directions."""
     w = Window.partitionBy("file").orderBy("chunk_index", "note_id")
     rows = df.select("note_id", F.col("source_info.file_name").alias("file"), "chunk_index").where(F.col("file").isNotNull())
     ahead = F.array(*[F.struct(F.lead("note_id", d).over(w).alias("note_b"), F.lit(d).alias("distance")) for d in range(1, reach + 1)])
     pairs = rows.withColumn("ahead", ahead).select(F.col("note_id").alias("note_a"), F.explode("ahead").alias("x")).select("note_a", "x.note_b", "x.distance").where("note_b IS NOT NULL")
-    return pairs.withColumn("weight", F.round(0.6 / F.col("distance"), 6))
+    back = pairs.select(F.col("note_b").alias("note_a"), F.col("note_a").alias("note_b"), "distance")
+    return pairs.unionByName(back).withColumn("weight", F.round(0.6 / F.col("distance"), 6))
 
 
 def sentence_coverage(df: DataFrame, least: float = 0.6) -> DataFrame:
@@ -214,10 +215,11 @@ SELECT dataset, keyword, n, round(n / sum(n) OVER (PARTITION BY dataset), 6)::DO
     "notes_per_chunk": f"""{_W} SELECT note_id, row_number() OVER (PARTITION BY source_info.file_name, chunk_index ORDER BY coalesce(importance_score, -1.0) DESC, note_id)::INTEGER AS place FROM notes QUALIFY place <= 12""",
     "entity_cooccurrence": f"""{_W}, p AS (SELECT note_id, {_CLEAN_ENTS} AS e FROM notes), x AS (SELECT note_id, unnest(e) AS entity FROM p)
 SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS n FROM x a JOIN x b ON a.note_id = b.note_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 3""",
-    "entity_coexistence": f"""{_W}, x AS (SELECT note_id, unnest({_CLEAN_ENTS}) AS entity FROM notes)
-SELECT a.note_id AS note_a, b.note_id AS note_b, count(*)::INTEGER AS shared, round(0.8 * least(count(*) / 5.0::DOUBLE, 1.0), 6) AS weight FROM x a JOIN x b ON a.entity = b.entity AND a.note_id < b.note_id GROUP BY ALL HAVING count(*) >= 2""",
+    "entity_coexistence": f"""{_W}, e AS (SELECT note_id, {_CLEAN_ENTS} AS e FROM notes), x AS (SELECT note_id, len(e) AS n, unnest(e) AS entity FROM e)
+SELECT a.note_id AS note_a, b.note_id AS note_b, count(*)::INTEGER AS shared, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE, 6) AS jaccard, round(0.8 * least(count(*) / 5.0::DOUBLE, 1.0), 6) AS weight
+FROM x a JOIN x b ON a.entity = b.entity AND a.note_id < b.note_id GROUP BY a.note_id, b.note_id HAVING count(*) >= 2""",
     "context_relations": f"""{_W}, r AS (SELECT note_id, source_info.file_name AS file, row_number() OVER (PARTITION BY source_info.file_name ORDER BY chunk_index, note_id) AS k FROM notes WHERE source_info.file_name IS NOT NULL)
-SELECT a.note_id AS note_a, b.note_id AS note_b, (b.k - a.k)::INTEGER AS distance, round(0.6 / (b.k - a.k), 6)::DOUBLE AS weight FROM r a JOIN r b ON a.file = b.file AND b.k - a.k BETWEEN 1 AND 3""",
+SELECT a.note_id AS note_a, b.note_id AS note_b, abs(b.k - a.k)::INTEGER AS distance, round(0.6 / abs(b.k - a.k), 6)::DOUBLE AS weight FROM r a JOIN r b ON a.file = b.file AND abs(b.k - a.k) BETWEEN 1 AND 3""",
     "sentence_coverage": f"""{_W}, live AS (SELECT md5(original_text) AS chunk_key, original_text, content FROM notes WHERE NOT {_BLANK.format('original_text')}),
 said AS (SELECT DISTINCT chunk_key, unnest({_SENT.format('content')}) AS s FROM live), sets AS (SELECT chunk_key, {_WORDS.format('s')} AS w FROM said),
 c AS (SELECT DISTINCT chunk_key, original_text FROM live), l AS (SELECT chunk_key, {_SENT.format('original_text')} AS ss FROM c),

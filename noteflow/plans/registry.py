@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteflow.operators import answering, evaluation, extraction, graph, hybrid, incremental, learned, lexical, normalization, notes, paths, planning, quality, reasoning, references, retrieval, selection, vectors
+from noteflow.operators import answering, evaluation, extraction, graph, hybrid, incremental, learned, lexical, normalization, notes, paths, planning, quality, reasoning, references, relating, retrieval, selection, vectors
 
-MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, normalization, selection, reasoning, retrieval, learned, hybrid, quality, answering, planning, paths]
+MODULES = [references, notes, graph, lexical, vectors, evaluation, incremental, extraction, normalization, selection, reasoning, retrieval, learned, hybrid, quality, answering, planning, paths, relating]
 
 
 def queries() -> dict:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from noteflow.operators import graph, hybrid, paths, planning
+from noteflow.operators import graph, hybrid, paths, planning, relating
 from noteflow.operators.references import latest
 
 
@@ -81,3 +81,9 @@ def test_diverse_paths_and_degrees(spark):
     assert [r.path_id for r in paths.penalized_paths(s, 2).orderBy("place").collect()] == ["A>B>C", "A>B>D"]
     r = spark.createDataFrame([(f"r{i}", "hub", f"n{i}", 1.0 - i / 100) for i in range(15)], "relation_id string, source_id string, target_id string, weight double")
     assert [x.relation_id for x in paths.degree_limited(r).orderBy("place").collect()] == [f"r{i}" for i in range(11)]
+
+
+def test_spouses_join_the_notes_of_both_names(spark):
+    rows = [("a", "Ada Vance is married to Bob Quill.", ["Ada Vance"]), ("b", "A note on the mill.", ["Bob Quill", None]), ("c", "Cy Marl's wife Dot Marl left. 'Ada Vance's husband Bob Quill' is a song.", ["Dot Marl"]), ("d", None, None)]
+    n = spark.createDataFrame(rows, "note_id string, content string, entities array<string>")
+    assert {(r.source_id, r.target_id, r.name_a, r.name_b) for r in relating.spouse_relations(n).collect()} == {("a", "b", "Ada Vance", "Bob Quill")}

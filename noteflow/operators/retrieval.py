@@ -133,10 +133,10 @@ def coverage(n: DataFrame) -> DataFrame:
 
 
 def joint_grid(scores: DataFrame, p: DataFrame) -> DataFrame:
-    """keyword, sentence, f1: for a grid of two thresholds, the F1 of calling a passage supporting that is over both."""
+    """keyword, sentence, f1: for a grid of 81 pairs of thresholds, the F1 of calling a passage supporting that is over both."""
     truth = p.select(F.col("item_id").alias("id"), "idx", F.coalesce("is_supporting", F.lit(False)).alias("t"))
     j = scores.select("id", "idx", "keyword", "best_sentence").join(truth, ["id", "idx"])
-    grid = [(k / 100, s / 100) for k in range(2, 20, 4) for s in range(2, 20, 4)]
+    grid = [(k / 100, s / 100) for k in range(2, 20, 2) for s in range(2, 20, 2)]
     over = [(F.col("keyword") >= k) & (F.col("best_sentence") >= s) for k, s in grid]
     sums = j.groupBy(*[F.lit(0).alias("z")]).agg(F.count_if("t").alias("true"), *[F.count_if(o).alias(f"o{i}") for i, o in enumerate(over)], *[F.count_if(o & F.col("t")).alias(f"h{i}") for i, o in enumerate(over)])
     rows = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(s).alias("sentence"), F.round(F.coalesce(2.0 * F.col(f"h{i}") / F.nullif(F.col(f"o{i}") + F.col("true"), F.lit(0)), F.lit(0.0)), 6).alias("f1")) for i, (k, s) in enumerate(grid)])
@@ -207,7 +207,7 @@ _SENT = "list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''
 _E = f"WITH {SQL_RELATIONS}, e AS (SELECT source_id AS src, target_id AS dst, max(weight) AS weight FROM rel GROUP BY ALL)"
 _QUOTA = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in QUOTAS.items()) + f" ELSE {OTHER_QUOTA} END"
 _EVENT = " UNION ALL ".join(f"SELECT doc_id, i, '{k}' AS event FROM w WHERE list_has_any(w, [{', '.join(repr(x) for x in v)}])" for k, v in EVENTS.items())
-_GRID = ", ".join(f"({k / 100}::DOUBLE, {s / 100}::DOUBLE)" for k in range(2, 20, 4) for s in range(2, 20, 4))
+_GRID = ", ".join(f"({k / 100}::DOUBLE, {s / 100}::DOUBLE)" for k in range(2, 20, 2) for s in range(2, 20, 2))
 
 SQL = {
     "hop_filtered": f"""{_E}, d AS (SELECT a.src, b.dst, max(round(a.weight * b.weight * 0.5, 8)) AS weight FROM e a JOIN e b ON a.dst = b.src WHERE a.weight * b.weight * 0.5 > 0.1 AND a.src <> b.dst GROUP BY ALL),

@@ -136,11 +136,15 @@ def joint_grid(scores: DataFrame, p: DataFrame) -> DataFrame:
     """keyword, sentence, f1: for a grid of 81 pairs of thresholds, the F1 of calling a passage supporting that is over both."""
     truth = p.select(F.col("item_id").alias("id"), "idx", F.coalesce("is_supporting", F.lit(False)).alias("t"))
     j = scores.select("id", "idx", "keyword", "best_sentence").join(truth, ["id", "idx"])
-    grid = [(k / 100, s / 100) for k in range(2, 20, 2) for s in range(2, 20, 2)]
-    over = [(F.col("keyword") >= k) & (F.col("best_sentence") >= s) for k, s in grid]
-    sums = j.groupBy(*[F.lit(0).alias("z")]).agg(F.count_if("t").alias("true"), *[F.count_if(o).alias(f"o{i}") for i, o in enumerate(over)], *[F.count_if(o & F.col("t")).alias(f"h{i}") for i, o in enumerate(over)])
-    rows = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(s).alias("sentence"), F.round(F.coalesce(2.0 * F.col(f"h{i}") / F.nullif(F.col(f"o{i}") + F.col("true"), F.lit(0)), F.lit(0.0)), 6).alias("f1")) for i, (k, s) in enumerate(grid)])
-    return sums.select(F.explode(rows).alias("x")).select("x.*")
+    steps = [k / 100 for k in range(2, 20, 2)]
+    reached = lambda c: sum(((F.col(c) >= t).cast("int") for t in steps), F.lit(0))
+    # at most 100 rows however many passages there are: how many thresholds each of the two scores reaches
+    cells = j.groupBy(reached("keyword").alias("k"), reached("best_sentence").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if("t").alias("hits"))
+    points = F.array(*[F.struct(F.lit(x).alias("keyword"), F.lit(y).alias("sentence"), ((F.col("k") > i) & (F.col("s") > m)).alias("over")) for i, x in enumerate(steps) for m, y in enumerate(steps)])
+    rows = cells.select("n", "hits", F.explode(points).alias("x"))
+    sums = rows.groupBy("x.keyword", "x.sentence").agg(F.sum(F.when(F.col("x.over"), F.col("hits")).otherwise(0)).alias("h"), F.sum(F.when(F.col("x.over"), F.col("n")).otherwise(0)).alias("o"), F.sum("hits").alias("true"))
+    f1 = F.coalesce(2.0 * F.col("h") / F.nullif(F.col("o") + F.col("true"), F.lit(0)), F.lit(0.0))
+    return sums.select("keyword", "sentence", F.round(f1, 6).alias("f1"))
 
 
 def largest_jump(h: DataFrame, k: int = 5) -> DataFrame:

@@ -56,3 +56,20 @@ def test_rows(spark):
     b = sorted((r for r in out if r.note_id == "b"), key=lambda r: r.piece_no)
     assert b[0].piece + "".join(r.piece[50:] for r in b[1:]) == prose
     assert split_items(df.limit(0), "note_id", "original_text").count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_forced_pieces_and_solid_runs_agree(spark, sf):
+    """A note is marked as forced by its text exactly where some of its pieces had to be cut at the limit."""
+    n = spark.read.parquet(f"/root/testdata/{sf}/atomic_notes.parquet").dropDuplicates(["note_id"])
+    out = split_items(n, "note_id", "original_text").collect()
+    told = {r.note_id for r in out if r.cut == "forced"}
+    assert told == {r.note_id for r in out if r.end_kind == "forced"} and len({r.note_id for r in out}) > len(told) > 0
+
+
+def test_natural_cuts_are_found_where_targets_miss_them():
+    """Boundaries far from every equal-length target still serve."""
+    text = ("y" * 505 + ". ") + ("z" * 440 + ". ") * 3 + "w" * 450
+    pieces = split_text(text)
+    check(text, pieces, 512, 50)
+    assert all(p.kind == "boundary" for p in pieces[:-1])

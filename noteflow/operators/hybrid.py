@@ -41,8 +41,8 @@ def candidates(q: DataFrame, p: DataFrame) -> DataFrame:
     words = lambda t, stop=None: tx.word_set(F.col(t), stop)
     focus = F.trim(F.concat_ws(" ", F.array_join(F.slice("path", F.greatest(F.lit(1), F.size("path") - 1), 2), " "), "phrase"))
     return (
-        c.withColumn("dense", F.round(tx.jaccard(words("question"), words("content")), 6))
-        .withColumn("sparse", F.round(tx.jaccard(words("question", tx.STOP_WORDS), words("content", tx.STOP_WORDS)), 6))
+        c.withColumn("dense", tx.rounded(tx.jaccard(words("question"), words("content")), 6))
+        .withColumn("sparse", tx.rounded(tx.jaccard(words("question", tx.STOP_WORDS), words("content", tx.STOP_WORDS)), 6))
         .withColumn("focus", focus).withColumn("hits", F.size(F.filter("must", lambda t: F.contains(F.col("blob"), t))))
         .withColumn("hop_no", F.when(F.col("hits") > 0, 1).otherwise(2))
     )
@@ -153,9 +153,9 @@ def path_reranked(c: DataFrame) -> DataFrame:
     names = lambda hop: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("hop_no") == hop, F.col("names"))).over(w)))
     connected = F.arrays_overlap("names", names(1)) & F.arrays_overlap("names", names(2))
     quality = F.least(0.7 * F.col("dense") + 0.3 * F.least(F.size("names") / 5, F.lit(1.0)), F.lit(1.0))
-    c = c.withColumn("connected", F.coalesce(connected, F.lit(False))).withColumn("path_score", F.round(F.when(F.col("connected"), 0.5 * quality).otherwise(0.0), 6))
+    c = c.withColumn("connected", F.coalesce(connected, F.lit(False))).withColumn("path_score", tx.rounded(F.when(F.col("connected"), 0.5 * quality).otherwise(0.0), 6))
     base = DENSE * F.col("dense") + SPARSE * F.col("sparse")
-    return c.select("query", "candidate", "connected", "path_score", F.round(base + 0.3 * F.col("path_score"), 6).alias("final"))
+    return c.select("query", "candidate", "connected", "path_score", tx.rounded(base + 0.3 * F.col("path_score"), 6).alias("final"))
 
 
 # Weights and words of the rules for records of music.

@@ -107,8 +107,8 @@ def scores(n: DataFrame) -> DataFrame:
     """note_id, the five sub-scores, overall (weighted) and level: high from 0.8, medium from 0.6, low from 0.4, else very_low."""
     t = text_of()
     parts = {"completeness": content_completeness(t), "relevance": entity_relevance(t, names_of()), "density": information_density(t), "linguistic": linguistic_quality(t), "factual": factual_consistency(t)}
-    s = n.select("note_id", *[F.round(v, 6).alias(k) for k, v in parts.items()])
-    s = s.withColumn("overall", F.round(sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0)), 6))
+    s = n.select("note_id", *[tx.rounded(v, 6).alias(k) for k, v in parts.items()])
+    s = s.withColumn("overall", tx.rounded(sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0)), 6))
     return s.withColumn("level", F.when(F.col("overall") >= 0.8, "high").when(F.col("overall") >= 0.6, "medium").when(F.col("overall") >= 0.4, "low").otherwise("very_low"))
 
 

@@ -129,7 +129,7 @@ def obvious_noise(t: Column) -> Column:
 def noise(n: DataFrame) -> DataFrame:
     """note_id, usefulness, overall, is_noise, reason: noise if obvious; no noise over 0.65 usefulness; else noise if the
     overall quality is under 0.4."""
-    j = n.select("note_id", obvious_noise(text_of()).alias("obvious"), F.round(usefulness(n), 6).alias("usefulness")).join(scores(n).select("note_id", "overall"), "note_id")
+    j = n.select("note_id", obvious_noise(text_of()).alias("obvious"), tx.rounded(usefulness(n), 6).alias("usefulness")).join(scores(n).select("note_id", "overall"), "note_id")
     reason = F.when(F.col("obvious"), "obvious_noise").when(F.col("usefulness") > 0.65, None).when(F.col("overall") < 0.4, "low_quality")
     return j.select("note_id", "usefulness", "overall", reason.isNotNull().alias("is_noise"), reason.alias("reason"))
 

@@ -15,6 +15,7 @@ def _tables(spark):
 
 
 CASES = {
+    "bm25_search": (lambda d, q: lexical.bm25(d, q), {}),
     "tfidf_search": (lambda d, q: lexical.tfidf_cosine(d, q), {"cosine": True}),
 }
 

@@ -215,3 +215,15 @@ def test_queries_survive_empty_tables(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{f}.parquet").limit(0).write.parquet(f"{tmp_path}/{f}.parquet")
     for name, query in registry.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name == "p7_fill" else 0), name
+
+
+def test_models_see_every_pair_and_document(spark, monkeypatch):
+    """Defects are planted into each calm pair, however many groups there are, and each document's words count."""
+    monkeypatch.setattr(pairs, "PLANTED_ROWS", 10)
+    docs = spark.createDataFrame([(i, f"stem word{i} " + "the house stood there " * 6, "en") for i in range(1200)], "doc_id bigint, text string, lang string")
+    lm = pairs.fit_language(docs)
+    assert all(f"word{i}" in lm.known for i in range(1200))
+    rows = [(str(i), f"Who built the bridge number {i}?", f"The bridge number {i} was built by the masons of the northern town in the year {1500 + i}.") for i in range(160)]
+    voted = spark.createDataFrame([(*r, *pairs._votes(r[1], r[2], lm).values()) for r in rows], "k string, q string, a string, " + ", ".join(f"{d} array<int>" for d in pairs._votes("", "", lm)))
+    made = pairs._planted(voted, spark.sparkContext.broadcast(lm)).where("label = 0 AND defect = 'empty'").toPandas()
+    assert made.n.sum() >= 30  # up to three of eight stay as they are, in every group; of ten pairs it would be three

@@ -17,7 +17,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from functools import lru_cache
-from itertools import permutations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,10 @@ LEARN, ESTABLISHED = 3, 3
 VARIANT = 5
 #: Words that are learned, at most (the most frequent ones).
 LEARNED_WORDS = 50_000
-#: Names of up to so many words are looked up in every order, longer ones in every rotation.
+#: Names of up to so many words are looked up in every order, longer ones in every rotation and with any two words anywhere.
 ORDERED_WORDS = 4
+#: Letters of the shortest word that may be a misspelling (`reach` of it or of a word with a letter more).
+MISSPELT = 4
 
 # Given names and what people call their bearers. The part before the colon is the full name.
 NICKNAMES = """
@@ -497,7 +499,15 @@ def whole_matches(open_: DataFrame, forms: DataFrame) -> DataFrame:
         words = form.split(" ")
         if len(words) <= ORDERED_WORDS:
             return {" ".join(p) for p in permutations(words)}
-        return {" ".join(words[i:] + words[:i]) for i in range(len(words))}
+        # words in alphabetical order keep it but for the misspelt ones, of which the reach of a whole name allows two
+        out = {" ".join(words[i:] + words[:i]) for i in range(len(words))}
+        long = [i for i, w in enumerate(words) if len(w) >= MISSPELT]
+        for some in combinations(long if len(long) > 1 else range(len(words)), 2):
+            rest = [w for i, w in enumerate(words) if i not in some]
+            for a in range(len(rest) + 1):
+                one = [*rest[:a], words[some[0]], *rest[a:]]
+                out.update(" ".join([*one[:b], words[some[1]], *one[b:]]) for b in range(len(one) + 1))
+        return out
 
     def ask(batches):
         for b in batches:

@@ -227,3 +227,12 @@ def test_models_see_every_pair_and_document(spark, monkeypatch):
     voted = spark.createDataFrame([(*r, *pairs._votes(r[1], r[2], lm).values()) for r in rows], "k string, q string, a string, " + ", ".join(f"{d} array<int>" for d in pairs._votes("", "", lm)))
     made = pairs._planted(voted, spark.sparkContext.broadcast(lm)).where("label = 0 AND defect = 'empty'").toPandas()
     assert made.n.sum() >= 30  # up to three of eight stay as they are, in every group; of ten pairs it would be three
+
+
+def test_long_names_with_a_misspelling_that_moves_a_word_inside(spark):
+    """Two misspelt words may stand anywhere in the alphabetical order."""
+    whole = "almond bridge castle driver zephyr"
+    others = ["almond bridge castle qephyr driver", "almond pridge castle driver zephyr", "almond pridge castle driver qephyr", "alpine pridge castle driver zephyr"]
+    forms = [" ".join(sorted(x.split())) for x in others]
+    found = names.whole_matches(spark.createDataFrame([(whole,)], "form string"), spark.createDataFrame([(x,) for x in [whole, *forms]], "form string"))
+    assert {r.other for r in found.collect()} == set(forms[:3])

@@ -5,7 +5,8 @@ page furniture. Labels of whole-text residue then spread through the connected c
 are compared without markup and furniture, by the five-word shingles of what is left: a SimHash of many bits is cut into
 tables, so many that a pair at the least similarity shares a key with FOUND probability at any number of texts; pairs
 that share a key are verified by Hamming distance, then by their shingles; a round is repeated with what it labelled until
-nothing is new. Equal texts are one vertex throughout.
+nothing is new. SimHashes are made only of texts that share one of their least shingles with a text of the other side, as all
+similar texts do. Equal texts are one vertex throughout.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SPARE = 5
 BAND = 1.3
 #: Labelled texts of one bucket that meet its unlabelled texts in one step; the others meet in the next steps what is still unlabelled.
 SLICE = 64
+#: Bits of the filter of shingles as a power of two (16 MB), the bits that a shingle sets, and up to how many texts go to all executors.
+FILTER, TRIES, FEW_IDS = 27, 4, 500_000
 
 _NAME = r"[A-Za-z_][\w.\-]*+(?:\[\d+\])?+(?:\.\w+)*+"
 # The spellings of template fields, one per template language.
@@ -355,9 +358,15 @@ def table_plan(texts: int, found: float = FOUND) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - found) / math.log(1 - BIT_AGREES**bits))
 
 
-def text_marks(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, vid (stands for an exact text), kind, n (number of shingles), sim (SimHash of 64 * words bits) for every text that
-    is neither null nor blank."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays or [np.empty(0, np.uint64)]).view(np.int64)))
+
+
+def text_marks(docs: DataFrame, words: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, vid (stands for an exact text), kind, n (number of shingles), low (its least shingles) for every text that is neither
+    null nor blank. Two similar texts share one of `low`: as many as either may have besides those in common, and one more.
+    words has no effect any more: SimHashes are made of the few texts that share one (`_sketches`)."""
     kind_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -369,16 +378,43 @@ def text_marks(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
             distinct = list(at)
             sets = shingle_sets(distinct)
             vid = np.array([xxhash.xxh64_intdigest(t) for t in distinct], np.uint64).view(np.int64)
-            sims = [simhash(s, words) for s in sets]
+            low = _lists([s[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1] for s in sets])
             rows = pa.array([at[t] for t in texts], pa.int32())
-            cols = [pa.array(vid), pa.array(kinds_of(distinct), pa.string()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sims, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("k"), *[c.take(rows) for c in cols]], ["k", "vid", "kind", "n", "sim"])
+            cols = [pa.array(vid), pa.array(kinds_of(distinct), pa.string()), pa.array([len(s) for s in sets], pa.int32()), low]
+            yield pa.RecordBatch.from_arrays([b.column("k"), *[c.take(rows) for c in cols]], ["k", "vid", "kind", "n", "low"])
 
     narrow = docs.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, n int, sim array<bigint>")
+    out = spread(narrow).mapInArrow(run, f"k {kind_type}, vid bigint, kind string, n int, low array<bigint>")
     return out.withColumnRenamed("k", key)
 
 
+def _sharing(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows of which a member of `low` is in `low` of one of `others`, and few more: a Bloom filter of 2 ** FILTER bits tells."""
+    mask = (1 << FILTER) - 1
+    h = others.select(F.explode("low").alias("h"))
+    step = F.shiftrightunsigned("h", FILTER).bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(1))
+    at = h.select(F.explode(F.array(*[(F.col("h").bitwiseAND(F.lit(mask)) + i * step).bitwiseAND(F.lit(mask)) + 1 for i in range(TRIES)])).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(1 << (FILTER - 3), np.uint8)
+    for part, own in parts.toLocalIterator():
+        bits[(part - 1) * len(own) : part * len(own)] = np.frombuffer(own, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                low = b.column("low")
+                h = low.flatten().to_numpy().view(np.uint64)
+                step = (h >> np.uint64(FILTER)) & np.uint64(mask) | np.uint64(1)
+                known = np.ones(len(h), bool)
+                for i in range(TRIES):
+                    at = (h & np.uint64(mask)) + np.uint64(i) * step & np.uint64(mask)
+                    known &= (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                yield b.filter(pa.array(np.logical_or.reduceat(known, low.offsets.to_numpy()[:-1] - low.offsets[0].as_py())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _keys(bits: int, tables: int):
     """An array of the keys of all tables: table number, and `bits` bits of the SimHash of its own."""
 
@@ -421,43 +457,48 @@ def spread_labels(marks: DataFrame, docs: DataFrame, plan: tuple[int, int], text
     """vid, kind of texts that a chain of near-duplicates connects with a text whose kind holds for the whole text.
 
     marks: staged result of `text_marks`; docs has the texts. A template field is no label of the whole text (the article
-    around it has sound near-duplicates), so it does not spread.
+    around it has sound near-duplicates), so it does not spread. Only texts that share one of their least shingles with one
+    of the other side can have a near text there; only they are read again, hashed and met.
     """
-    nodes = marks.groupBy("vid").agg(*[F.first(c).alias(c) for c in ("kind", "n", "sim")])
-    nodes = stage(nodes.withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")), "texts")
-    front = nodes.where(F.col("kind").isin("script", "error", "filler"))
-    found = None
-
-    def unlabelled(bands: list[int]) -> DataFrame:
-        free = nodes.where(F.col("kind").isNull() & F.col("band").isin(bands)).drop("kind")
-        return free if found is None else free.join(found, "vid", "left_anti")
-
+    nodes = marks.select("vid", "kind", "n", "low", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int").alias("band"))
+    once = lambda df: df.groupBy("vid").agg(*[F.first(c).alias(c) for c in df.columns if c != "vid"])
+    front = stage(once(nodes.where(F.col("kind").isin("script", "error", "filler"))), "front")
+    found = sketches = None
     for step in itertools.count(1):
         bands = sorted({r.band + d for r in front.select("band").distinct().collect() for d in (-1, 0, 1)})  # the logarithm of a length
-        steps = [unlabelled(bands)]
-        new = None
-        for near in near_texts(front, steps[0], *plan, steps):
+        free = _sharing(nodes.where(F.col("kind").isNull() & F.col("band").isin(bands)).drop("kind"), front)
+        if found is not None:
+            free = free.join(found, "vid", "left_anti")
+        free = stage(once(free), "may-be-near")
+        shared = free.select("vid", F.explode("low").alias("h")).join(front.select(F.explode("low").alias("h")).distinct(), "h", "left_semi")
+        free = stage(free.join(shared.select("vid").distinct(), "vid", "left_semi"), "may-be-near")
+        front = stage(_sharing(front, free), "front")
+        ids = front.select("vid").union(free.select("vid"))
+        more = stage(_sketches(marks, docs, ids if sketches is None else ids.join(sketches, "vid", "left_anti"), text, math.ceil(plan[0] * plan[1] / 64)), "sketches")
+        sketches = more if sketches is None else sketches.unionByName(more)
+        sims = sketches.select("vid", "sim")
+        reach, free = free, stage(free.drop("low").join(sims, "vid"), "free-texts")
+        steps, new = [free], None
+        for near in near_texts(front.drop("low").join(sims, "vid"), free, *plan, steps):
             near = stage(near, "near-texts")
             if not near.isEmpty():
-                part = stage(_verified(near, marks, docs, text), "labelled")
+                part = stage(_verified(near, sketches), "labelled")
                 if not part.isEmpty():
                     new = part if new is None else new.unionByName(part)
                     found = part if found is None else found.unionByName(part)
-                    steps.append(unlabelled(bands))
+                    steps.append(free.join(found, "vid", "left_anti"))
             drop_stage(near)
         if new is None:
             break
         if step % 10 == 0:  # a long chain makes no long plan
-            found = stage(found, "labelled")
-        front = nodes.drop("kind").join(new, "vid")
+            found, sketches = stage(found, "labelled"), stage(sketches, "sketches")
+        front = stage(reach.join(new, "vid"), "front")
     return found if found is not None else nodes.select("vid", "kind").limit(0)
 
 
-def _verified(near: DataFrame, marks: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _verified(near: DataFrame, sketches: DataFrame) -> DataFrame:
     """vid, kind: the texts u of `near` (vid, kind, u) whose shingles are similar to those of vid."""
-    ids = near.select("vid").union(near.select("u")).distinct()
-    shingles = stage(_shingle_table(marks, docs, ids, text), "shingles")
-    a, b = (shingles.select(F.col("vid").alias(n), F.col("s").alias(f"{n}_s")) for n in ("vid", "u"))
+    a, b = (sketches.select(F.col("vid").alias(n), F.col("s").alias(f"{n}_s")) for n in ("vid", "u"))
     both = F.size(F.array_intersect("vid_s", "u_s"))
     return (
         near.join(a, "vid").join(b, "u")
@@ -466,18 +507,21 @@ def _verified(near: DataFrame, marks: DataFrame, docs: DataFrame, text: str) ->
     )
 
 
-def _shingle_table(marks: DataFrame, docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """vid, s: the shingles of the texts in `ids`, each text read from one of its rows."""
+def _sketches(marks: DataFrame, docs: DataFrame, ids: DataFrame, text: str, words: int) -> DataFrame:
+    """vid, s (shingles), sim (SimHash of 64 * words bits) of the texts in `ids`, each text read from one of its rows."""
     key = marks.columns[0]
-    rows = marks.join(ids, "vid", "left_semi").groupBy("vid").agg(F.min(key).alias(key))
+    ids = stage(ids.distinct(), "ids")
+    few = ids.count() <= FEW_IDS  # then no text is shuffled to find them
+    rows = stage(marks.select(key, "vid").join(F.broadcast(ids) if few else ids, "vid", "left_semi").groupBy("vid").agg(F.min(key).alias(key)), "rows")
 
     def run(batches):
         for b in batches:
-            s = [x.view(np.int64) for x in shingle_sets(b.column("t").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(s, pa.list_(pa.int64()))], ["vid", "s"])
+            sets = shingle_sets(b.column("t").to_pylist())
+            sims = [simhash(s, words) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("vid"), _lists(sets), _lists(sims)], ["vid", "s", "sim"])
 
-    texts = docs.select(key, F.col(text).alias("t")).join(rows, key).groupBy("vid").agg(F.first("t").alias("t"))
-    return texts.mapInArrow(run, "vid bigint, s array<bigint>")
+    texts = docs.select(key, F.col(text).alias("t")).join(F.broadcast(rows) if few else rows, key).groupBy("vid").agg(F.first("t").alias("t"))
+    return texts.mapInArrow(run, "vid bigint, s array<bigint>, sim array<bigint>")
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -488,7 +532,7 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     the texts of near-duplicates.
     """
     plan = table_plan(docs.count())
-    marks = stage(text_marks(docs, math.ceil(plan[0] * plan[1] / 64), key, text), "text-marks")
+    marks = stage(text_marks(docs, key=key, text=text), "text-marks")
     more = spread_labels(marks, docs, plan, text)
     own = marks.where(F.col("kind").isNotNull()).select(key, "kind", F.lit("rule").alias("how"))
     rest = lookup_join(marks.where(F.col("kind").isNull()).select(key, "vid"), more, ["vid"]).select(key, "kind", F.lit("spread").alias("how"))

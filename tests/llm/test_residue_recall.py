@@ -92,3 +92,17 @@ def test_unknown_wordings_are_found_by_spreading_alone(spark):
 def test_furniture_and_markup_make_no_difference():
     a, b, c = residue.shingle_sets(["Bitte warten Sie auf den Dienst der Seite", "<div>BITTE warten Sie auf\nden Dienst der Seite</div>\n© archive", "一二三四五六七八"])
     assert (a == b).all() and len(c) == 4
+
+
+def test_only_texts_with_a_shared_shingle_are_hashed(spark):
+    """Of 300 articles only those near to the labelled text are read again; every pair at 0.8 or more shares a least shingle."""
+    texts, _ = made(5)
+    lone = {1000 + i: " ".join(f"x{i}y{j}" for j in range(60)) for i in range(300)}
+    docs = spark.createDataFrame([*texts.items(), *lone.items()], "doc_id bigint, text string")
+    marks = stage(residue.text_marks(docs))
+    low = {r.doc_id: set(r.low) for r in marks.collect()}
+    sets = {k: set(s.tolist()) for k, s in zip(texts, residue.shingle_sets(list(texts.values())))}
+    assert all(low[a] & low[b] for a in range(0, 600, 4) for b in range(a + 1, a + 4) if similar(sets[a], sets[b]))
+    front = marks.where("doc_id < 600 AND doc_id % 4 = 0")
+    kept = {r.doc_id for r in residue._sharing(marks, front).select("doc_id").collect()}
+    assert {k for k in low if any(low[k] & low[v] for v in range(0, 600, 4))} <= kept and len(kept & set(lone)) <= 3

@@ -6,19 +6,26 @@ queries run in parallel. Similarity joins compare only rows that share a rare wo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteflow.functions import text as tx
-from noteflow.functions.runtime import lookup_join, stage
+from noteflow.functions.runtime import drop_stage, lookup_join, spread, stage
 from noteflow.operators import graph
 from noteflow.operators.evaluation import items, passages, question_passage_scores
 from noteflow.operators.notes import SQL_NOTES, notes
 
+#: Words that are more than 1 / FREQUENT of all count as frequent, so there are fewer of them; the number of parts up to which sets
+#: meet by a rare word and a part.
+FREQUENT, BOTH = 50_000, 8
+
 
 def _sets(texts) -> list[set]:
     return [set((t or "").lower().split()) for t in texts]
@@ -130,19 +137,81 @@ def word_sets(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     return rows.select(key, "sid"), sets
 
 
+def _parts(k: np.ndarray) -> np.ndarray:
+    """k or more: each number up to BOTH, then every 1.2-fold, so a set has keys for few numbers of parts."""
+    return np.where(k <= BOTH, k, np.ceil(BOTH * 1.2 ** np.ceil(np.log(np.maximum(k, 1) / BOTH) / math.log(1.2) - 1e-9))).astype(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _set_keys(sizes: np.ndarray, h: np.ndarray, df: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set and key of all keys of the sets, and the parity of each set's words in 64 bits. h: hashes of the words of all sets, one
+    set after the other, df: how frequent they are."""
+    n, of = sizes.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    parity = np.zeros(len(n), np.uint64)
+    np.bitwise_xor.at(parity, of, np.uint64(1) << (_mixed(h) & np.uint64(63)))
+    # the rarest words, in an order that all sets share
+    order = np.lexsort((h, df, of))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    rare = order[place < np.repeat(n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, n)]
+    differ = lambda m: np.floor((1 - least) / (1 + least) * (n + m) + 1e-6).astype(np.int64)
+    low, high = _parts(differ(np.ceil(least * n - 1e-6)) + 1), _parts(differ(np.floor(n / least + 1e-6)) + 1)
+    owners, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    top = int(high.max(initial=1))
+    for k in sorted({int(x) for x in _parts(np.arange(2, top + 1))}):
+        has = (low <= k) & (k <= high)
+        if not has.any():
+            continue
+        row = np.cumsum(has) - 1
+        mine = has[of]
+        sums = np.zeros((int(has.sum()), k), np.uint64)
+        np.add.at(sums, (row[of[mine]], (_mixed(h[mine] + np.uint64(k)) % np.uint64(k)).astype(np.int64)), _mixed(h[mine]))
+        part = _mixed(sums + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
+        if k <= BOTH:
+            r = rare[has[of[rare]]]
+            owners.append(np.repeat(of[r], k))
+            keys.append(_mixed(part[row[of[r]]] ^ h[r][:, None]).ravel())
+        else:
+            owners.append(np.repeat(np.flatnonzero(has), k))
+            keys.append(part.ravel())
+    return np.concatenate(owners), np.concatenate(keys), parity
+
+
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity of different sets with a Jaccard similarity of `least` or more, exactly: two such sets share a word
-    among the rarest size - ceil(least * size) + 1 of each, so only these words join."""
-    words = sets.select("sid", F.size("s").alias("n"), F.explode("s").alias("w"))
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("sid").orderBy("df", "w")
-    ranked = words.join(df, "w").withColumn("r", F.row_number().over(order))
-    prefix = stage(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("sid", "n", "w"), "prefixes")
-    a, b = prefix.toDF("a", "na", "w"), prefix.toDF("b", "nb", "w")
-    near = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
-    pairs = stage(a.join(b, "w").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "set-pairs")
-    full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return full.select("a", "b", F.round(tx.jaccard(F.col("sa"), F.col("sb")), 9).alias("similarity")).where(F.col("similarity") >= least)
+    """a, b, similarity of different sets with a Jaccard similarity of `least` or more, exactly. The words of a set fall into parts
+    by their hash, one more than two such sets can differ in words, so they have a part in common; they also share a word
+    among the rarest size - ceil(least * size) + 1 of each. Sets meet by both, those of more than BOTH parts by parts; what
+    differs in too many bits of the words' parity is dropped where it meets, so few pairs are written."""
+    words = sets.select(F.explode("s").alias("w"))
+    often = words.count() // FREQUENT
+    sent = sets.sparkSession.sparkContext.broadcast(dict(words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > often).collect()))
+
+    def run(batches):
+        for b in batches:
+            s = b.column("s")
+            flat = s.flatten().dictionary_encode()
+            own = flat.dictionary.to_pylist()
+            at = flat.indices.to_numpy()
+            h = np.array([xxhash.xxh64_intdigest(w) for w in own], np.uint64)[at]
+            sizes = np.diff(s.offsets.to_numpy())
+            owner, key, parity = _set_keys(sizes, h, np.array([sent.value.get(w, 0) for w in own], np.int64)[at], least)
+            cols = [pa.array(key.view(np.int64)), b.column("id").take(pa.array(owner)), pa.array(sizes[owner].astype(np.int32)), pa.array(parity[owner].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "id", "n", "bits"])
+
+    ids = sets.select(F.xxhash64("sid").alias("id"), "sid", "s")
+    keyed = stage(spread(ids.select("id", "s")).mapInArrow(run, "key bigint, id bigint, n int, bits bigint"), "set-keys")
+    a, b = keyed.toDF("key", "ia", "na", "pa"), keyed.toDF("key", "ib", "nb", "pb")
+    near = (F.col("na") * least <= F.col("nb") + 1e-9) & (F.col("nb") * least <= F.col("na") + 1e-9)
+    few = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-6
+    pairs = stage(a.join(b, "key").where((F.col("ia") < F.col("ib")) & near & few).select("ia", "ib").distinct(), "set-pairs")
+    drop_stage(keyed)
+    full = pairs.join(ids.toDF("ia", "x", "sa"), "ia").join(ids.toDF("ib", "y", "sb"), "ib")
+    full = full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round(tx.jaccard(F.col("sa"), F.col("sb")), 9).alias("similarity"))
+    return full.where(F.col("similarity") >= least)
 
 
 def lexical_duplicates(df: DataFrame, key: str, text: str, least: float = 0.85) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from noteflow.functions.runtime import stage
 from noteflow.operators import reasoning, selection
 
 SCHEMA = "query string, candidate int, score double, text string, paths array<string>"
@@ -76,3 +77,18 @@ def test_hops_between_passages(spark):
     a = spark.createDataFrame([("i", 0, 2), ("j", 0, 0), ("k", 1, None), ("l", 0, 9)], "id string, question_idx int, answer_idx int")
     g = spark.createDataFrame([("i", 0, 1, 0.5), ("i", 1, 2, 0.5)], "item_id string, a int, b int, weight double")
     assert dict(reasoning.hops_needed(a, g).collect()) == {"i": 3, "j": 2, "k": 2, "l": 4}
+
+
+def test_similar_sets_of_all_sizes_meet_and_others_do_not(spark, monkeypatch):
+    """All pairs of short and long sets, by brute force; sets that share rare words without being similar make no pairs to verify."""
+    random.seed(5)
+    base = [[f"b{i}w{j}" for j in range(n)] for i, n in enumerate([6, 7, 12, 13, 16, 20, 25, 40, 120])]
+    rows = [" ".join([*b[: len(b) - cut], *(f"z{cut}{j}" for j in range(add))]) for b in base for cut in range(0, len(b) // 6 + 2, max(1, len(b) // 20)) for add in range(min(4, len(b) // 6 + 2))]
+    rows += [f"place{i % 20} year{i % 20} town{i % 20} " + " ".join(random.sample([f"often{j}" for j in range(40)], 13)) for i in range(300)]
+    _, sets = selection.word_sets(spark.createDataFrame(list(enumerate(rows)), "id int, text string"), "id", "text")
+    written = {}
+    monkeypatch.setattr(selection, "stage", lambda df, name="stage": written.setdefault(name, stage(df, name)))
+    s = {r.sid: set(r.s) for r in sets.collect()}
+    got = {(r.a, r.b): r.similarity for r in selection.similar_sets(sets, 0.85).collect()}
+    assert set(got) == {(a, b) for a, b in itertools.combinations(sorted(s), 2) if round(len(s[a] & s[b]) / len(s[a] | s[b]), 9) >= 0.85}
+    assert written["set-pairs"].count() < len(got) + 300

@@ -1,3 +1,6 @@
+import random
+
+from noteflow.functions.runtime import stage
 from noteflow.operators import graph, reasoning
 
 
@@ -18,3 +21,25 @@ def test_beams_take_six_branches_and_four_hops(spark):
     e = edges(spark, [("a", f"b{i}", 0.9 - i / 10) for i in range(7)] + [("b0", "c", 0.5), ("c", "d", 0.5), ("d", "x", 0.5), ("x", "y", 0.5)])
     got = {">".join(r.path) for r in reasoning.beam_search(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {f"a>b{i}" for i in range(6)} | {"a>b0>c", "a>b0>c>d", "a>b0>c>d>x"}
+
+
+def test_a_hub_takes_no_more_branches_than_can_count(spark, monkeypatch):
+    """The same paths as by brute force where all nodes have a hub with 400 neighbours, of which few branches are followed."""
+    random.seed(4)
+    pairs = {(f"n{i:03d}", "hub"): random.choice([0.5, 0.9]) for i in range(400)} | {(f"n{random.randrange(400):03d}", f"m{i % 40:02d}"): round(random.random(), 2) for i in range(300)}
+    both = {**pairs, **{(b, a): w for (a, b), w in pairs.items()}}
+    near = {}
+    for (a, b), w in both.items():
+        near.setdefault(a, []).append((-w, b))
+    want, front = set(), {s: [(s,)] for s in ["hub", *(f"n{i:03d}" for i in range(0, 400, 20))]}
+    for seed, paths in front.items():
+        n = 0
+        for _ in range(3):
+            paths = [(*p, b) for p in paths for _, b in sorted(near[p[-1]]) if b not in p][: 10 - n]
+            n += len(paths)
+            want |= {(seed, ">".join(p)) for p in paths}
+    rows = {}
+    monkeypatch.setattr(graph, "stage", lambda df, name="stage": rows.setdefault(name, stage(df, name)) if name == "branches" else stage(df, name))
+    got = graph.simple_paths(edges(spark, [(a, b, w) for (a, b), w in both.items()]), spark.createDataFrame([(s,) for s in front], "node string"))
+    assert {(r.seed, ">".join(r.path)) for r in got.collect()} == want
+    assert rows["branches"].where("src = 'hub'").count() == 13

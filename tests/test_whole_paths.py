@@ -1,7 +1,15 @@
+import os
 import random
+import re
+
+import pytest
 
 from noteflow.functions.runtime import stage
 from noteflow.operators import graph, reasoning
+from noteflow.plans import registry
+from tests.oracle import connect
+
+SF = os.environ.get("TEST_PATHS_SF_DIR", "/root/testdata/sf0.01")
 
 
 def edges(spark, rows):
@@ -43,3 +51,25 @@ def test_a_hub_takes_no_more_branches_than_can_count(spark, monkeypatch):
     got = graph.simple_paths(edges(spark, [(a, b, w) for (a, b), w in both.items()]), spark.createDataFrame([(s,) for s in front], "node string"))
     assert {(r.seed, ">".join(r.path)) for r in got.collect()} == want
     assert rows["branches"].where("src = 'hub'").count() == 13
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_node_chooses_diverse_paths_among_all_of_its_own(spark):
+    """The first paths and scores of all nodes from the SQL of path_scores with every node as a seed, chosen one by one."""
+    sql, every = re.subn(r"WHERE try_cast\(regexp_extract\(src, .*?\) AS INTEGER\) % 50 = 0", "", registry.oracle_sql()["path_scores"])
+    assert every == 1 and sql.endswith(" SELECT * FROM sc")
+    own = {}
+    for seed, path_id, score in connect(SF).execute(sql.replace(" SELECT * FROM sc", " SELECT p0.seed, path_id, score FROM p0 JOIN sc USING (path_id)")).fetchall():
+        own.setdefault(seed, []).append((-score, path_id))
+    want = set()
+    for seed, rows in own.items():
+        least = 0.3 if sum(x <= -0.3 for x, _ in rows) >= 3 else 0.3 * 0.7
+        chosen = []
+        for x, path_id in sorted(rows):
+            nodes = set(path_id.split(">"))
+            if -x >= least and len(chosen) < 10 and all(1 - len(nodes & y) / len(nodes | y) >= 0.7 for y in chosen):
+                chosen.append(nodes)
+                want.add((seed, path_id, len(chosen), -x))
+    got = registry.queries()["paths_diverse"](spark, SF).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert len({r.seed for r in got}) > 500
